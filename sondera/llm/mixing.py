@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import col, fresh
 
 #: Targets are the natural shares to this power, made to add up to one: large sources give way to small ones.
-ALPHA, SWEEPS = 0.8, 25
+ALPHA, SWEEPS = 0.9, 25
 MARGINS = ("source", "lang", "topic")
 
 
