@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, mixing, toxicity
-from .common import table
+from . import ann, bpe, exact_dedup, html, huffman, minhash, mixing, quality, toxicity, warc
+from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,14 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.salvaged_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,12 +40,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = written(bpe.bpe_encode(table(spark, sf_dir, "documents"), check=False).select("doc_id", "token_ids"), "token-ids")
+    return huffman.huffman_encode(ids, huffman.codebook(ids))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_minhash, op6_mixing, op7_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_html, op2_bpe, op3_minhash, op4_warc, op5_ann, op6_mixing, op7_toxicity, op8_quality, op9_huffman, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
