@@ -1,11 +1,373 @@
-"""Queries of the search engine by name, and their SQL."""
+"""Queries of the search engine by name, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import text as t
+from ..functions import tokenizer as tk
+from ..functions import vector as v
+from ..operators import maintenance as m
+from ..operators import search as s
+from ..operators.embedder import HashingEmbedder
+from ..operators.highlight import highlight_rows
+from ..streaming.ingest import latest_events
+from . import relevance as r
+
+Query = Callable[[SparkSession, str], DataFrame]
+DIM, K = 64, 20
+EMBEDDER = HashingEmbedder(DIM, 0.3, 0.9)
+PHRASE = "of the and in this that"
+PAIRS = [(0, "the tion"), (1, "de la ciudad"), (2, "und der die"), (3, "les des une"), (4, "?a"), (5, "with the other thing.")]
+TOY = {"[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "the": 5, "th": 6, "##e": 7, "##re": 8, "an": 9, "##d": 10, "o": 11, "##f": 12, "##n": 13, "##t": 14, "##h": 15, "##ing": 16, "in": 17, "er": 18, "##er": 19, ".": 20, ",": 21}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as vectors of notes: the label is the note, intervals of ten bytes every eight follow the id."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").cast("long").alias("note_id"), (F.col("vec_id") * 8).alias("start_i"), (F.col("vec_id") * 8 + F.col("vec_id") % 11).alias("end_i"), F.col("embedding").alias("vec"))
+
+
+VECTORS_SQL = "(SELECT vec_id, label::BIGINT AS note_id, vec_id * 8 AS start_i, vec_id * 8 + vec_id % 11 AS end_i, embedding::DOUBLE[] AS vec FROM embeddings)"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("note_id").distinct().select("note_id", F.concat(F.lit("note-"), F.col("note_id")).alias("path"))
+
+
+NOTES_SQL = "(SELECT DISTINCT label::BIGINT AS note_id, 'note-' || label AS path FROM embeddings)"
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> Column:
+    """The vector of id 0, as a literal: a query's vector is one row that the driver has."""
+    row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return s.literal(row[0])
+
+
+QUERY_SQL = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+
+
+def _against_first(name: str, value: Callable[[Column, Column], Column]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.round(value(F.col("embedding"), first_vector(spark, sf_dir)), 6).alias(name))
+
+    return run
+
+
+def vector_is_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", v.is_zero(F.col("embedding")).alias("zero"), v.is_zero(F.transform("embedding", lambda x: x * 0)).alias("zeroed"))
+
+
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    n = v.normalize(F.transform("embedding", lambda x: x * F.col("vec_id")))
+    return e.select("vec_id", F.round(F.get(n, 0).cast("double"), 5).alias("first"), F.round(v.magnitude(n), 5).alias("norm"), v.dimension(n).alias("dim"))
+
+
+def vector_masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    tokens = F.array("embedding", F.transform("embedding", lambda x: x * 3), F.transform("embedding", lambda x: x * 100))
+    mean = v.masked_mean(tokens, F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return e.select("vec_id", F.round(F.get(mean, 1), 5).alias("second"))
+
+
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = s.top_k(s.score(vectors(spark, sf_dir), first_vector(spark, sf_dir)), K, -1.0)
+    return best.select("rank", "vec_id", "note_id", F.round("similarity", 6).alias("similarity"))
+
+
+def search_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.search(vectors(spark, sf_dir), notes(spark, sf_dir), first_vector(spark, sf_dir), 100, 0.2)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def unique_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.unique_search(vectors(spark, sf_dir), notes(spark, sf_dir), first_vector(spark, sf_dir), 12, 0.1)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return s.search_batch(vectors(spark, sf_dir), asked, 5, 0.1).withColumn("similarity", F.round("similarity", 6))
+
+
+def vecs_for_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.vecs_for_note(vectors(spark, sf_dir), 3).drop("vec")
+
+
+def get_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("vec_id = 11").select("vec_id", "note_id", F.round(F.get("vec", 0).cast("double"), 6).alias("first"))
+
+
+def remove_by_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.remove_by_note(vectors(spark, sf_dir), notes(spark, sf_dir).where("note_id < 3").select("note_id")).drop("vec")
+
+
+def replace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = vectors(spark, sf_dir)
+    new = old.where("note_id = 2").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    return m.replace_vectors(old, new, new.select("note_id").distinct()).drop("vec")
+
+
+def copy_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.copy_vector(vectors(spark, sf_dir), 5, 2_000_000).drop("vec")
+
+
+def rename_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.renamed(notes(spark, sf_dir), "note-4", "moved")
+
+
+def remove_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = notes(spark, sf_dir).where("path = 'note-4'")
+    return m.remove_by_note(vectors(spark, sf_dir), gone.select("note_id")).groupBy("note_id").agg(F.count("*").alias("n"))
+
+
+def prune_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = table(spark, sf_dir, "documents").select(F.concat(F.lit("note-"), F.col("doc_id") * 2).alias("path"))
+    kept = m.prune(notes(spark, sf_dir), there)
+    return vectors(spark, sf_dir).join(kept, "note_id").groupBy("path").agg(F.count("*").alias("n"))
+
+
+def validate_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("end_i", F.col("end_i") + F.when(F.col("vec_id") % 5 == 0, 40).otherwise(0))
+    return m.overlaps(rows)
+
+
+def assign_note_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"))
+    known = paths.where("path < 'src1/2'").select(F.row_number().over(W.orderBy("path")).cast("long").alias("note_id"), "path")
+    first = known.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0] + 1
+    return m.get_or_create_ids(known, paths, first)
+
+
+def count_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).agg(F.count_distinct("note_id").alias("notes"), F.count("*").alias("vectors"))
+
+
+def _spans(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, delimiters: str) -> DataFrame:
+    d = table(spark, sf_dir, source)
+    rows = d.select(key, F.explode(t.spans(F.col(text), delimiters)).alias("c"))
+    return rows.select(key, "c.pos", "c.start_i", "c.end_i", "c.contents", "c.type")
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "documents", "doc_id", "text", t.SENTENCE)
+
+
+def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "documents", "doc_id", "text", t.WORD)
+
+
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(t.chunks(F.col("text"))).alias("pos", "contents"))
+
+
+def url_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    rows = p.select("page_id", F.explode(t.sentences(F.concat_ws(" see ", "url", F.regexp_replace("html", "<[^>]*>", " ")))).alias("c"))
+    return rows.groupBy("page_id", F.col("c.contents").alias("contents"), F.col("c.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.posexplode(F.split("text", "[ \\n]")).alias("pos", "piece"))
+    return rows.select("doc_id", "pos", t.wordlike(F.col("piece")).alias("wordlike"), t.whitespace_only(F.col("piece")).alias("blank"))
+
+
+def strip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    cut = F.concat(F.lit("?! "), F.substring("text", 1, 3))
+    return d.select("doc_id", t.strip_query(F.col("text")).alias("whole"), t.strip_query(cut).alias("head"), t.strip_query(F.substring("text", -1, 1)).alias("last"))
+
+
+def basic_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.explode(tk.basic_tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+def wordpiece_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    vocabulary = tk.Vocabulary({k.encode(): i for k, i in TOY.items()})
+    ids = d.select("doc_id", tk.wordpiece(F.col("text"), vocabulary).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n"), tk.padded(F.col("ids")).alias("padded")).select("doc_id", "n", "padded.ids", "padded.mask")
+
+
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", EMBEDDER.embed(F.col("text")).alias("vec"))
+    rows = d.select("doc_id", F.posexplode("vec").alias("bucket", "x"))
+    return rows.where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 5).alias("value"))
+
+
+def _sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, note_id, start_i, end_i, vec) of the sentences of documents, ready to be searched."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.explode(t.sentences(F.col("text"))).alias("c"))
+    some = rows.where(t.wordlike(F.col("c.contents")))
+    return some.select((F.col("note_id") * 1_000_000 + F.col("c.pos")).alias("vec_id"), "note_id", "c.start_i", "c.end_i", EMBEDDER.embed(F.col("c.contents")).alias("vec"))
+
+
+def _document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"))
+
+
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentence_vectors(spark, sf_dir).select("note_id", "start_i", "end_i", F.round(v.magnitude(F.col("vec")), 5).alias("norm"), F.size(F.filter("vec", lambda x: x != 0)).alias("parts"))
+
+
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.search(_sentence_vectors(spark, sf_dir), _document_notes(spark, sf_dir), s.literal(EMBEDDER.embed_one(PHRASE)), 50, EMBEDDER.threshold)
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
+def text_unique_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.unique_search(_sentence_vectors(spark, sf_dir), _document_notes(spark, sf_dir), s.literal(EMBEDDER.embed_one(PHRASE)), 50, EMBEDDER.threshold)
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    found = highlight_rows(c, s.literal(EMBEDDER.embed_one("the")), EMBEDDER, "key", "text", 4)
+    return found.select("key", F.posexplode("highlights").alias("pos", "h")).select("key", "pos", "h.start_i", "h.end_i")
+
+
+def async_ingest_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_events(table(spark, sf_dir, "events"), "user_id", "props", ["ts", "event_id"])
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item has as hits all labelled documents, in an order of its own."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    hits = b.crossJoin(d)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.md5(F.concat_ws("-", "query_id", "doc_id"))))
+    return hits.select("query_id", "quality", F.col("doc_id").cast("string").alias("path"), rank.alias("rank"))
+
+
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _results(spark, sf_dir)
+    expected = results.select("query_id", "path", (F.col("quality") == 1).alias("include"), F.lit(10).alias("weight"))
+    shown = results.where("rank <= 3")
+    binary = r.binary_scores(shown, results.where("quality = 1").groupBy("query_id").agg(F.min_by("path", "rank").alias("want")))
+    first = r.first_hit_scores(shown, results.where("rank = 1").select("query_id", "path", F.lit(44).alias("weight")))
+    return r.report(binary, "binary").unionAll(r.report(r.inclusion_scores(shown, expected), "inclusion")).unionAll(r.report(first, "first"))
+
+
+def queries() -> dict[str, Query]:
+    found = {
+        "vector_dot": _against_first("dot", v.dot), "vector_magnitude": _against_first("norm", lambda a, _: v.magnitude(a)), "cosine_similarity": _against_first("cosine", v.cosine_similarity),
+    }
+    named = (
+        vector_is_zero, vector_normalize, vector_masked_mean, search_topk, search_threshold, unique_search, batch_search, vecs_for_note, get_vector, remove_by_note, replace_vectors,
+        copy_vector, rename_path, remove_path, prune_orphans, validate_overlaps, assign_note_ids, count_notes, sentence_split, word_split, sentence_chunks, url_chunks, chunk_filter, strip_query,
+        basic_tokenize, wordpiece_tokenize, hash_embed, embed_text, text_search, text_unique_search, highlights, async_ingest_latest_wins, quality_score,
+    )
+    return found | {f.__name__: f for f in named}
+
+
+ALNUM = "A-Za-z0-9"
+
+
+def _spans_sql(source: str, key: str, text: str, delimiters: str) -> str:
+    """Chunks with offsets where no text has a URL: tiles cover the text, so offsets are running sums of their bytes."""
+    d = delimiters
+    return f"""
+        tiles AS (SELECT {key}, unnest(regexp_extract_all({text}, '[^{d}]+|[{d}]+')) AS tile, generate_subscripts(regexp_extract_all({text}, '[^{d}]+|[{d}]+'), 1) AS i FROM {source}),
+        placed AS (SELECT {key}, i, tile, sum(strlen(tile)) OVER (PARTITION BY {key} ORDER BY i) - strlen(tile) AS byte_at, regexp_extract(tile, '(?s)[{ALNUM}](?:.*[{ALNUM}])?') AS contents FROM tiles),
+        chunks AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS pos, byte_at + strlen(regexp_extract(tile, '(?s)^[^{ALNUM}]*')) AS start_i, contents FROM placed WHERE contents <> ''),
+        spans AS (SELECT {key}, pos::INTEGER AS pos, start_i::BIGINT AS start_i, (start_i + strlen(contents))::BIGINT AS end_i, contents, 'string' AS type FROM chunks)"""
+
+
+SENTENCE_SQL, WORD_SQL = ".!?\\n", '.!?\\n, ();":'
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{t.UPPER}', '{t.LOWER}'), '[a-z0-9]+')"
+
+
+def _hash_sql(source: str, key: str, text: str) -> str:
+    """(key, bucket, x): the non-zero components of the hashed vectors."""
+    return f"""
+        hashed_{source} AS (SELECT {key}, md5(w) AS h FROM (SELECT {key}, unnest({_words_sql(text)}) AS w FROM {source})),
+        summed_{source} AS (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % {DIM} AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM hashed_{source} GROUP BY ALL HAVING x <> 0),
+        unit_{source} AS (SELECT {key}, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM summed_{source})"""
+
+
+def _text_hits_sql(limit: int) -> str:
+    return f"""WITH {_spans_sql("documents", "doc_id", "text", SENTENCE_SQL)},
+        sentences AS (SELECT doc_id * 1000000 + pos AS vec_id, doc_id, start_i, end_i, contents FROM spans WHERE length(regexp_replace(contents, '[^{ALNUM}]', '', 'g')) >= 2),
+        asked AS (SELECT 0 AS q, '{PHRASE}' AS phrase),
+        {_hash_sql("sentences", "vec_id", "contents")}, {_hash_sql("asked", "q", "phrase")},
+        scored AS (SELECT u.vec_id, sum(u.x * a.x) AS similarity FROM unit_sentences u JOIN unit_asked a USING (bucket) GROUP BY u.vec_id),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM scored) WHERE rank <= {limit} AND similarity > {EMBEDDER.threshold}),
+        hits AS (SELECT rank::INTEGER AS rank, d.source || '/' || s.doc_id AS path, s.start_i, s.end_i, similarity FROM best JOIN sentences s USING (vec_id) JOIN documents d ON d.doc_id = s.doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    vec, note, q = VECTORS_SQL, NOTES_SQL, QUERY_SQL
+    hits = f"(SELECT row_number() OVER (ORDER BY round(similarity, 6) DESC, vec_id) AS rank, * FROM (SELECT vec_id, note_id, start_i, end_i, list_inner_product(vec, q) AS similarity FROM {vec}, {q}))"
+    results = "(SELECT b.item_id AS query_id, l.quality, l.doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY b.item_id ORDER BY md5(b.item_id || '-' || l.doc_id)) AS rank FROM benchmark b, labels l)"
+    return {
+        "vector_dot": f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS dot FROM embeddings, {q}",
+        "vector_magnitude": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+        "cosine_similarity": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, {q}",
+        "vector_is_zero": "SELECT vec_id, len(list_filter(embedding, lambda x: x <> 0)) = 0 AS zero, true AS zeroed FROM embeddings",
+        "vector_normalize": "SELECT vec_id, CASE WHEN vec_id <> 0 THEN round((embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE, 5) END AS first, CASE WHEN vec_id <> 0 THEN 1.0::DOUBLE END AS norm, CASE WHEN vec_id <> 0 THEN len(embedding)::INTEGER END AS dim FROM embeddings",
+        "vector_masked_mean": "SELECT vec_id, round(2 * embedding[2]::DOUBLE, 5) AS second FROM embeddings",
+        "search_topk": f"SELECT rank::INTEGER AS rank, vec_id, note_id, round(similarity, 6) AS similarity FROM {hits} WHERE rank <= {K}",
+        "search_threshold": f"SELECT rank::INTEGER AS rank, path, start_i, end_i, round(similarity, 6) AS similarity FROM {hits} JOIN {note} USING (note_id) WHERE rank <= 100 AND similarity > 0.2",
+        "unique_search": f"SELECT (row_number() OVER (ORDER BY best))::INTEGER AS rank, path, start_i, end_i, round(similarity, 6) AS similarity FROM (SELECT path, min(rank) AS best, arg_min(start_i, rank) AS start_i, arg_min(end_i, rank) AS end_i, max(similarity) AS similarity FROM {hits} JOIN {note} USING (note_id) WHERE rank <= 12 AND similarity > 0.1 GROUP BY path)",
+        "batch_search": f"SELECT query_id, rank::INTEGER AS rank, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b)) WHERE rank <= 5 AND similarity > 0.1",
+        "vecs_for_note": f"SELECT vec_id, note_id, start_i, end_i FROM {vec} WHERE note_id = 3",
+        "get_vector": f"SELECT vec_id, note_id, round(vec[1], 6) AS first FROM {vec} WHERE vec_id = 11",
+        "remove_by_note": f"SELECT vec_id, note_id, start_i, end_i FROM {vec} WHERE note_id >= 3",
+        "replace_vectors": f"SELECT CASE WHEN note_id = 2 THEN vec_id + 1000000 ELSE vec_id END AS vec_id, note_id, start_i, end_i FROM {vec}",
+        "copy_vector": f"SELECT vec_id, note_id, start_i, end_i FROM {vec} UNION ALL SELECT 2000000, note_id, start_i, end_i FROM {vec} WHERE vec_id = 5",
+        "rename_path": f"SELECT note_id, CASE WHEN path = 'note-4' THEN 'moved' ELSE path END AS path FROM {note}",
+        "remove_path": f"SELECT note_id, count(*) AS n FROM {vec} WHERE note_id <> 4 GROUP BY note_id",
+        "prune_orphans": f"SELECT path, count(*) AS n FROM {vec} JOIN {note} USING (note_id) WHERE path IN (SELECT 'note-' || doc_id * 2 FROM documents) GROUP BY path",
+        "validate_overlaps": f"WITH w AS (SELECT vec_id, note_id, start_i, end_i + CASE WHEN vec_id % 5 = 0 THEN 40 ELSE 0 END AS end_i FROM {vec}) SELECT a.note_id, a.vec_id AS vec_a, b.vec_id AS vec_b FROM w a JOIN w b ON a.note_id = b.note_id AND a.vec_id < b.vec_id AND a.start_i < b.end_i AND b.start_i < a.end_i",
+        "assign_note_ids": "WITH p AS (SELECT DISTINCT source || '/' || doc_id AS path FROM documents) SELECT row_number() OVER (ORDER BY path >= 'src1/2', path) AS note_id, path FROM p",
+        "count_notes": f"SELECT count(DISTINCT note_id) AS notes, count(*) AS vectors FROM {vec}",
+        "sentence_split": f"WITH {_spans_sql('documents', 'doc_id', 'text', SENTENCE_SQL)} SELECT * FROM spans",
+        "word_split": f"WITH {_spans_sql('documents', 'doc_id', 'text', WORD_SQL)} SELECT * FROM spans",
+        "sentence_chunks": f"WITH {_spans_sql('documents', 'doc_id', 'text', SENTENCE_SQL)} SELECT doc_id, pos, contents FROM spans",
+        "url_chunks": f"""WITH parts AS (SELECT page_id, unnest(string_split(regexp_replace(url || ' see ' || regexp_replace(html, '<[^>]*>', ' ', 'g'), '(https?://[^ \\n\\t]*)', chr(1) || '\\1' || chr(1), 'g'), chr(1))) AS part FROM pages),
+            tiles AS (SELECT page_id, part AS tile, 'url' AS type FROM parts WHERE part LIKE 'http://%' OR part LIKE 'https://%' UNION ALL SELECT page_id, unnest(regexp_extract_all(part, '[^{SENTENCE_SQL}]+')), 'string' FROM parts WHERE NOT (part LIKE 'http://%' OR part LIKE 'https://%')),
+            chunks AS (SELECT page_id, regexp_extract(tile, '(?s)[{ALNUM}](?:.*[{ALNUM}])?') AS contents, type FROM tiles)
+            SELECT page_id, contents, type, count(*) AS n FROM chunks WHERE contents <> '' GROUP BY ALL""",
+        "chunk_filter": f"WITH pieces AS (SELECT doc_id, string_split_regex(text, '[ \\n]') AS p FROM documents), each AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM pieces) SELECT doc_id, pos::INTEGER AS pos, length(regexp_replace(piece, '[^{ALNUM}]', '', 'g')) >= 2 AS wordlike, regexp_full_match(piece, '[ \\t\\n\\r\\x0B\\f]*') AS blank FROM each",
+        "strip_query": "SELECT doc_id, " + ", ".join(f"CASE WHEN regexp_full_match({x}, '(?s)[^{ALNUM}]*[{ALNUM}]') THEN '' ELSE regexp_extract({x}, '(?s)[{ALNUM}](?:.*[{ALNUM}])?') END AS {n}" for n, x in (("whole", "text"), ("head", "('?! ' || substr(text, 1, 3))"), ("last", "right(text, 1)"))) + " FROM documents",
+        "basic_tokenize": f"SELECT doc_id, token, sum(CASE WHEN strlen(token) > length(token) THEN strlen(token) ELSE 1 END)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{t.UPPER}', '{t.LOWER}'), '[a-z0-9]+|[^a-z0-9 \\t\\n\\r\\x0B\\f]')) AS token FROM documents) GROUP BY ALL",
+        "hash_embed": f"WITH {_hash_sql('documents', 'doc_id', 'text')} SELECT doc_id, bucket::INTEGER AS bucket, round(x::FLOAT::DOUBLE, 5) AS value FROM unit_documents",
+        "embed_text": f"""WITH {_spans_sql("documents", "doc_id", "text", SENTENCE_SQL)},
+            sentences AS (SELECT doc_id * 1000000 + pos AS vec_id, doc_id, start_i, end_i, contents FROM spans WHERE length(regexp_replace(contents, '[^{ALNUM}]', '', 'g')) >= 2),
+            {_hash_sql("sentences", "vec_id", "contents")},
+            parts AS (SELECT vec_id, count(*)::INTEGER AS parts FROM unit_sentences GROUP BY vec_id)
+            SELECT doc_id AS note_id, start_i, end_i, CASE WHEN parts IS NOT NULL THEN 1.0::DOUBLE END AS norm, coalesce(parts, CASE WHEN false THEN 0 END) AS parts FROM sentences LEFT JOIN parts USING (vec_id)""",
+        "text_search": _text_hits_sql(50) + " SELECT rank, path, start_i, end_i, round(similarity, 4) AS similarity FROM hits",
+        "text_unique_search": _text_hits_sql(50) + " SELECT (row_number() OVER (ORDER BY best))::INTEGER AS rank, path, start_i, end_i, round(similarity, 4) AS similarity FROM (SELECT path, min(rank) AS best, arg_min(start_i, rank) AS start_i, arg_min(end_i, rank) AS end_i, arg_min(similarity, rank) AS similarity FROM hits GROUP BY path)",
+        "highlights": f"""WITH c AS (SELECT conv_id || '-' || turn AS key, text FROM conversations), {_spans_sql("c", "key", "text", WORD_SQL)},
+            coded AS (SELECT key, start_i, end_i, list_distinct(list_transform({_words_sql("contents")}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM} * 2 + ('0x' || substr(md5(w), 9, 1))::BIGINT % 2)) AS codes FROM spans),
+            near AS (SELECT key, start_i, end_i FROM coded WHERE codes = [('0x' || substr(md5('the'), 1, 8))::BIGINT % {DIM} * 2 + ('0x' || substr(md5('the'), 9, 1))::BIGINT % 2])
+            SELECT key, (row_number() OVER w - 1)::INTEGER AS pos, start_i, end_i FROM near WINDOW w AS (PARTITION BY key ORDER BY start_i) QUALIFY row_number() OVER w <= 4""",
+        "async_ingest_latest_wins": "SELECT user_id AS path, arg_max(props, (ts, event_id)) AS contents, count(*) AS pushed FROM events GROUP BY user_id",
+        "quality_score": f"""WITH res AS {results}, shown AS (SELECT * FROM res WHERE rank <= 3),
+            want AS (SELECT query_id, arg_min(path, rank) AS want FROM res WHERE quality = 1 GROUP BY query_id),
+            hits AS (SELECT query_id, arg_min(path, rank) AS first, count(*) AS n FROM shown GROUP BY query_id),
+            b AS (SELECT CASE WHEN first = want THEN 20 ELSE 0 END + CASE WHEN first = want AND n = 1 THEN 20 ELSE 0 END AS got, 40 AS total FROM want LEFT JOIN hits USING (query_id)),
+            i AS (SELECT CASE WHEN (s.path IS NOT NULL) = (r.quality = 1) THEN 10 ELSE 0 END AS got, 10 AS total FROM res r LEFT JOIN shown s USING (query_id, path)),
+            f AS (SELECT 44 AS got, 44 AS total FROM res WHERE rank = 1),
+            every AS (SELECT 'binary' AS label, * FROM b UNION ALL SELECT 'inclusion', * FROM i UNION ALL SELECT 'first', * FROM f)
+            SELECT label, sum(got)::BIGINT AS got, sum(total)::BIGINT AS total, round(100.0::DOUBLE * sum(got) / sum(total), 2) AS percent FROM every GROUP BY label""",
+    }
