@@ -73,10 +73,12 @@ class Codebook:
 
     @classmethod
     def canonical(cls, ids: np.ndarray, lengths: np.ndarray) -> Codebook:
+        if not len(ids):
+            return cls(ids, lengths, np.zeros(0, np.int64))
         order = np.lexsort((ids, lengths))
         ids, lengths = ids[order], lengths[order]
-        codes, code, last = np.zeros(len(ids), np.int64), 0, int(lengths[0]) if len(ids) else 0
-        starts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1])) if len(ids) else np.zeros(0, np.int64)
+        codes, code, last = np.zeros(len(ids), np.int64), 0, int(lengths[0])
+        starts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1]))
         for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
             code <<= int(lengths[a]) - last
             last = int(lengths[a])
@@ -139,7 +141,13 @@ class Codebook:
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
-        ids, n = np.unique(b.column(0).flatten().drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+        own = b.column(0).flatten().drop_null().to_numpy(zero_copy_only=False)
+        if len(own) and own.min() >= 0 and own.max() < 1 << 21:
+            n = np.bincount(own)
+            ids = np.flatnonzero(n)
+            n = n[ids]
+        else:
+            ids, n = np.unique(own, return_counts=True)
         both = np.concatenate([known, ids])
         known, back = np.unique(both, return_inverse=True)
         count = np.bincount(back, np.concatenate([count, n]), len(known)).astype(np.int64)
@@ -148,7 +156,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def codebook(df: DataFrame, ids_col: str = "token_ids", limit: int = LIMIT) -> Codebook:
     """The code from the counts of all ids of the column; null lists and null ids don't count.  As large as the vocabulary."""
-    each = df.select(col(df, ids_col).cast("array<long>").alias("ids")).mapInArrow(_counts, "id long, n long")
+    each = df.select(col(df, ids_col).alias("ids")).mapInArrow(_counts, "id long, n long")
     found = each.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
     return Codebook.of(found.column("id").to_numpy(), found.column("n").to_numpy(), limit)
 
@@ -172,19 +180,32 @@ def huffman_encode(df: DataFrame, book: Codebook, id_col: str = "doc_id", ids_co
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                yield _pack(whole.slice(at, 1024), book, block, stride, check)
+        for b in batches:
+            yield from _pack(b, book, block, stride, check)
 
-    rows = df.select(col(df, id_col).cast("long").alias("doc_id"), F.filter(col(df, ids_col).cast("array<long>"), lambda x: x.isNotNull()).alias("ids"))
+    rows = df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, ids_col).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, block int, n_tokens long, n_bits long, checkpoints array<long>, data binary" + ", decoded boolean" * check)
 
 
-def _pack(b: pa.RecordBatch, book: Codebook, most: int, stride: int, check: bool) -> pa.RecordBatch:
+def _pack(b: pa.RecordBatch, book: Codebook, most: int, stride: int, check: bool, at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch, about ``at_once`` ids at a time, which bounds the memory."""
     lists = b.column(1)
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    row, number, cut = _blocks(sizes, most)
+    if flat.null_count:
+        real = flat.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(real))[np.append(0, np.cumsum(sizes))]
+        flat, sizes = flat.drop_null(), np.diff(ends)
+    every = flat.to_numpy(zero_copy_only=False)
+    rows, numbers, cuts = _blocks(sizes, most)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + at_once, "right")) - 1)
+        yield _packed(b.column(0), lists, rows[lo:hi], numbers[lo:hi], cuts[lo : hi + 1] - cuts[lo], every[cuts[lo] : cuts[hi]], book, stride, check)
+        lo = hi
+
+
+def _packed(doc_ids: pa.Array, lists: pa.Array, row: np.ndarray, number: np.ndarray, cut: np.ndarray, ids: np.ndarray, book: Codebook, stride: int, check: bool) -> pa.RecordBatch:
     data, first, bits, within = book.encode(ids, cut, stride)
     length = np.diff(cut)
     marks = -(-length // stride)
@@ -193,7 +214,7 @@ def _pack(b: pa.RecordBatch, book: Codebook, most: int, stride: int, check: bool
     packed = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
     null = lists.is_null().take(pa.array(row))
     columns = [
-        b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(length), pa.array(bits),
+        doc_ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(length), pa.array(bits),
         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(marks)).astype(np.int32)), pa.array(offsets, pa.int64())),
         pc.if_else(null, pa.scalar(None, pa.binary()), packed),
     ]

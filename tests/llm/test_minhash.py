@@ -1,0 +1,129 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from sondera.llm import minhash as mh
+from sondera.llm.components import components
+
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def shingle_set(text, k=mh.SHINGLE):
+    words = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text.lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def groups_by_brute_force(rows, threshold):
+    """Components of all pairs, not only candidate ones."""
+    sets = [(i, shingle_set(t)) for i, t in rows if i is not None and t is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = set()
+    for n, (a, sa) in enumerate(sets):
+        for b, sb in sets[:n]:
+            if a != b and sa and sb and len(sa & sb) / len(sa | sb) >= threshold:
+                pairs.add((min(a, b), max(a, b)))
+                ra, rb = sorted((root(a), root(b)))
+                parent[rb] = ra
+    return {i: root(i) for i in parent}, pairs
+
+
+def near(rng, words, change):
+    return [rng.choice(WORDS) if rng.random() < change else w for w in words]
+
+
+def corpus():
+    rng = random.Random(5)
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(WORDS) for _ in range(rng.randrange(40, 200))]
+        for change in (0, 0.01, 0.03, 0.06, 0.1, 0.5)[: rng.randrange(2, 7)]:
+            rows.append(" ".join(near(rng, base, change)))
+    shared = " ".join(rng.choice(WORDS) for _ in range(60))
+    rows += [shared + " " + " ".join(rng.choice(WORDS) for _ in range(300)) for _ in range(20)]
+    rows += ["Same, words!", "same WORDS", "one", "", "...", "two words", "two words"] + ["hot copy of one document"] * 50
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    return list(zip(ids, rows, strict=True))
+
+
+def test_signature_estimates_jaccard():
+    rng = np.random.default_rng(0)
+    for share in (0.2, 0.5, 0.8):
+        common, a, b = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (int(2000 * share), int(1000 * (1 - share)), int(1000 * (1 - share))))
+        sets = [np.concatenate([common, a]), np.concatenate([common, b])]
+        s = mh.signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), 1024)
+        true = len(common) / (len(common) + len(a) + len(b))
+        assert abs((s[0] == s[1]).mean() - true) < 0.06
+
+
+def test_one_circle_makes_all_coordinates():
+    windows = mh.circle(1 << 10, 16)
+    ranks = windows[:, 0]
+    assert sorted(ranks[: 1 << 10]) == list(range(1 << 10))
+    for k in range(16):  # coordinate k is the same permutation, turned by k places
+        assert (windows[: 1 << 10, k] == np.roll(ranks[: 1 << 10], -k)).all()
+
+
+def test_exact_jaccard():
+    a, b = np.array([1, 2, 3, 4], np.uint64), np.array([3, 4, 5], np.uint64)
+    assert mh.jaccard(a, b) == 2 / 5 and mh.jaccard(a, a) == 1 and mh.jaccard(a, a[:0]) == 0
+
+
+def test_recall_and_precision_against_brute_force(spark):
+    rows = corpus()
+    want, pairs = groups_by_brute_force(rows, mh.THRESHOLD)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.dup_of for r in mh.near_duplicates(df).collect()}
+    group = {i: got.get(i, i) for i, _ in rows}
+    together = sum(group[a] == group[b] for a, b in pairs)
+    assert together >= 0.95 * len(pairs)
+    assert all(want[i] == want[g] for i, g in got.items())  # nothing is joined that isn't near
+    assert all(g < i and g not in got for i, g in got.items())
+    kept = mh.drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i not in got)
+
+
+def test_pairs_that_the_leader_does_not_join(spark):
+    """With one row of one band nearly all documents meet in few buckets; the groups must still be those of all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for base in range(6):
+        words = [f"b{base}x{k}" for k in range(30)]
+        for j in range(4):
+            rows.append((base * 4 + j, " ".join(["common"] * 3 + near(rng, words, 0.04))))
+    rng.shuffle(rows)
+    want, _ = groups_by_brute_force(rows, 0.5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.dup_of for r in mh.near_duplicates(df, threshold=0.5, bands=64, rows=1).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == want
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"t{k}" for k in range(400_000))
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (None, "a b c d", None), (2, "a b c d", None), (3, None, "y"), (4, "", "y"), (5, "", "y"), (6, long, "y"), (7, long + " more", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    assert sorted(tuple(r) for r in mh.near_duplicates(df).collect()) == [(2, 1), (7, 6)]
+    kept = mh.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.count() == 7
+    assert mh.near_duplicates(df.where("false")).count() == 0 and mh.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (200, 200), (None, 5), (101, 100)]
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a b", "x"])
+def test_short_documents(spark, text):
+    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " z z z z z z")], "doc_id long, text string")
+    assert [tuple(r) for r in mh.near_duplicates(df).collect()] == [(2, 1)]
