@@ -27,8 +27,9 @@ from .common import col, discard, fresh, written
 from .components import components
 from .textvec import mix, shingles, token_hashes
 
-#: Positions of the circle, words of a shingle, bands and rows: at a Jaccard of 0.6 a pair shares a band with probability 0.92, at 0.7 0.997.
-CIRCLE, SHINGLE, BANDS, ROWS, THRESHOLD = 1 << 20, 3, 32, 5, 0.6
+#: Positions of the circle, words of a shingle, bands and rows: at a Jaccard of 0.5 a pair shares a band with probability 0.92, at 0.6 0.996.
+#: One changed word changes three shingles: at 0.5 a tenth of the words may differ.
+CIRCLE, SHINGLE, BANDS, ROWS, THRESHOLD = 1 << 20, 3, 40, 4, 0.5
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
