@@ -61,7 +61,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["positive", "features"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
     """Trains on arrays of feature ids.  Without positives nothing is toxic."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint32), np.zeros(0), -10.0)
