@@ -29,15 +29,14 @@ def col(df: DataFrame, name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, ``spark.checkpoint.dir``; one of our own only where that is unset and all is on this machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    kept = spark.sparkContext.getCheckpointDir()
-    if not kept:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sondera-"))
-        kept = spark.sparkContext.getCheckpointDir()
-    return kept
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sondera-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
