@@ -145,7 +145,7 @@ def validate_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assign_note_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"))
-    known = paths.where("path < 'src1/2'").select(F.row_number().over(W.orderBy("path")).cast("long").alias("note_id"), "path")
+    known = m.new_ids(paths.where("path < 'src1/2'"), "path", 1, "note_id").select("note_id", "path")
     first = known.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0] + 1
     return m.get_or_create_ids(known, paths, first)
 
