@@ -26,6 +26,7 @@ from pyspark.sql.window import Window as W
 from .common import bounded_sample, col, written
 
 K, EPSILON, COVERAGE = 10, 3.0, 0.97
+#: EPSILON is in standard deviations of the estimate.
 #: Bounds of the samples: vectors for the centroids, queries for the number of cells.
 MOST_TRAINED, MOST_MEASURED = 20_000, 256
 
@@ -57,14 +58,14 @@ class Index:
         """Estimated inner products of queries with coded vectors, and the bounds of their errors."""
         c = self.centroids[cell]
         q = queries - c
-        length = np.linalg.norm(q, axis=1)
+        length = np.linalg.norm(q, axis=1).astype(np.float32)
         turned = (q @ self.rotation).astype(np.float32)
         signs = np.unpackbits(packed, axis=1, count=self.dim).astype(np.float32) * 2 - 1
         safe = np.maximum(match, 1e-6)
-        inner = (turned @ signs.T) * (norm / (np.sqrt(self.dim) * safe))[None, :]
         # <q, x> = <q, c> + <c, x - c> + <q - c, x - c>; the first two are the caller's
+        inner = turned @ (signs * (norm / (np.sqrt(self.dim) * safe))[:, None].astype(np.float32)).T
         slack = np.sqrt(np.maximum(1 - safe**2, 0)) / safe * norm / np.sqrt(max(self.dim - 1, 1))
-        return inner, epsilon * length[:, None] * slack[None, :]
+        return inner, (epsilon * length)[:, None] * slack.astype(np.float32)[None, :]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -219,21 +220,27 @@ def _search(index: Index, k: int, epsilon: float):
 def search_block(index: Index, cell: int, q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, epsilon: float) -> pa.RecordBatch:
     packed, norm, match = index.code(x, cell)
     c = index.centroids[cell]
-    side = (x - c) @ c
+    side = ((x - c) @ c).astype(np.float32)
     out_q, out_id, out_sim = [], [], []
     for at in range(0, len(q), 256):
         own = q[at : at + 256]
-        inner, slack = index.estimate(own, packed, norm, match, cell, epsilon)
-        middle = inner + (own @ c)[:, None] + side[None, :]
-        upper, lower = middle + slack, middle - slack
-        same = q_ids[at : at + 256, None] == ids[None, :]
-        lower[same] = -np.inf
-        upper[same] = -np.inf
-        # vectors whose upper bound reaches the k-th best lower bound, and the floor, are reranked exactly
-        cut = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
-        cut = np.maximum(cut, floors[at : at + 256] - 1e-6)
-        row, some = np.nonzero((upper >= cut[:, None]) & ~same)
-        exact = np.einsum("ij,ij->i", x[some], own[row])
+        upper, slack = index.estimate(own, packed, norm, match, cell, epsilon)
+        upper += (own @ c).astype(np.float32)[:, None]
+        upper += side
+        floor = floors[at : at + 256].astype(np.float32)
+        if np.isfinite(floor).all():  # these ask from another cell, so none meets itself here
+            upper += slack
+            row, some = np.nonzero(upper >= (floor - np.float32(1e-5))[:, None])
+        else:
+            same = q_ids[at : at + 256, None] == ids[None, :]
+            lower = upper - slack
+            upper += slack
+            lower[same] = -np.inf
+            # vectors whose upper bound reaches the k-th best lower bound, and the floor, are reranked exactly
+            cut = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf, np.float32)
+            row, some = np.nonzero((upper >= (np.maximum(cut, floor) - np.float32(1e-5))[:, None]) & ~same)
+        # gathered pairs cost some ten times as much each as those of a whole product
+        exact = (own @ x.T)[row, some] if len(row) * 10 > len(own) * len(ids) else np.einsum("ij,ij->i", x[some], own[row])
         good = exact >= floors[at + row] - 1e-6
         row, some, exact = row[good], some[good], exact[good]
         order = np.lexsort((ids[some], -exact, row))
