@@ -228,7 +228,7 @@ def search_block(index: Index, cell: int, q_ids: np.ndarray, q: np.ndarray, floo
         upper += (own @ c).astype(np.float32)[:, None]
         upper += side
         floor = floors[at : at + 256].astype(np.float32)
-        if np.isfinite(floor).all():  # these ask from another cell, so none meets itself here
+        if np.isfinite(floor).all():  # the k-th best so far is known: no need to look for it among the lower bounds
             upper += slack
             row, some = np.nonzero(upper >= (floor - np.float32(1e-5))[:, None])
         else:
@@ -241,7 +241,8 @@ def search_block(index: Index, cell: int, q_ids: np.ndarray, q: np.ndarray, floo
             row, some = np.nonzero((upper >= (np.maximum(cut, floor) - np.float32(1e-5))[:, None]) & ~same)
         # gathered pairs cost some ten times as much each as those of a whole product
         exact = (own @ x.T)[row, some] if len(row) * 10 > len(own) * len(ids) else np.einsum("ij,ij->i", x[some], own[row])
-        good = exact >= floors[at + row] - 1e-6
+        good = np.flatnonzero(exact >= floors[at + row] - 1e-6)
+        good = good[q_ids[at + row[good]] != ids[some[good]]]
         row, some, exact = row[good], some[good], exact[good]
         order = np.lexsort((ids[some], -exact, row))
         row, some, exact = row[order], some[order], exact[order]
