@@ -3,10 +3,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import corpus_pipeline as pipeline
 from sondera.llm import bpe, common, queries
 from tests.test_queries import DATA, compare
 
-pipeline = pytest.importorskip("corpus_pipeline")
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA) or not os.path.exists(bpe.RANK_FILE), reason="no test tables or no rank file")
 
 
