@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions.text import sentences, strip_query_text, wordlike
 from ..operators import maintenance as m
@@ -297,13 +298,15 @@ class VectorStore:
         return self._query(query, k, threshold, s.unique_search)
 
     def search_batch(self, queries: DataFrame, k: int = 20, threshold: float | None = None) -> DataFrame:
-        """(query_id, rank, path, start_i, end_i, similarity) for a table (query_id, query)."""
+        """(query_id, rank, path, start_i, end_i, similarity) for a table (query_id, query); as in ``search``, rows without a path go and ranks close up."""
         from ..functions.text import strip_query
 
         asked = queries.select("query_id", strip_query(F.col("query")).alias("q")).where("q <> ''").select("query_id", self.embedder.embed(F.col("q")).alias("vec")).where("vec is not null")
         vectors = self.vectors()
         best = s.search_batch(vectors, asked, k, self.embedder.threshold if threshold is None else threshold)
-        return best.join(vectors.select("vec_id", "note_id", "start_i", "end_i"), "vec_id").join(self.notes(), "note_id").select("query_id", "rank", "path", "start_i", "end_i", "similarity")
+        found = best.join(vectors.select("vec_id", "note_id", "start_i", "end_i"), "vec_id").join(self.notes(), "note_id")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+        return found.select("query_id", rank.alias("rank"), "path", "start_i", "end_i", "similarity")
 
     def highlights(self, query: str, text: str, n: int = 16) -> list[tuple[int, int]]:
         vec = self.embedder.embed_one(query) if query and n > 0 else None
