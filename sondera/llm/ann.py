@@ -148,8 +148,8 @@ def build(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, most_train
     return index
 
 
-def _assign(index: Index, first: int, last: int, block: int):
-    """Blocks (cell, ids, vecs, floors) of the rows (id, vec, floor) in their cells of the ranks ``first`` to ``last``, as far as one partition has them."""
+def _assign(index: Index, block: int):
+    """Blocks (cell, ids, vecs, floors) of the rows (id, vec, floor) in their nearest cells, as far as one partition has them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -157,11 +157,11 @@ def _assign(index: Index, first: int, last: int, block: int):
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 x, rows = _matrix(b.column(1), index.dim)
-                cells = index.ranked(x)[:, first:last]
+                cells = index.ranked(x)[:, 0]
                 ids, floors = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows]
                 x = x.astype(np.float32)
                 for k in np.unique(cells):
-                    own = np.flatnonzero((cells == k).any(axis=1))
+                    own = np.flatnonzero(cells == k)
                     mine = held.setdefault(int(k), [])
                     mine.append((ids[own], x[own], floors[own]))
                     if sum(len(m[0]) for m in mine) >= block:
@@ -173,6 +173,44 @@ def _assign(index: Index, first: int, last: int, block: int):
 
 
 BLOCKS = "cell int, ids binary, vecs binary, floors binary"
+ASKED = "part int, ids binary, vecs binary, floors binary, probes binary"
+
+
+def groups(n: int, cells: int) -> int:
+    """Cell c is in group c % groups.  A query travels once to each group in which it probes a cell, not once to each cell."""
+    return max(1, min(cells, max(16, int(n) // 8192)))
+
+
+def _ask(index: Index, parts: int, block: int):
+    """Blocks of the queries (id, vec, floor) for each group of cells, with the cells of the group that each query probes as packed bits; its own cell isn't among them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        cells = len(index.centroids)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                x, rows = _matrix(b.column(1), index.dim)
+                wanted = np.zeros((len(x), -(-cells // parts) * parts), bool)
+                np.put_along_axis(wanted, index.ranked(x)[:, 1 : index.probes], True, axis=1)
+                ids, floors, x = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows], x.astype(np.float32)
+                for part in range(parts):
+                    mine = wanted[:, part::parts]
+                    own = np.flatnonzero(mine.any(axis=1))
+                    if len(own):
+                        kept = held.setdefault(part, [])
+                        kept.append((ids[own], x[own], floors[own], np.packbits(mine[own], axis=1)))
+                        if sum(len(m[0]) for m in kept) >= block:
+                            yield _asked(part, held.pop(part))
+        for part, kept in held.items():
+            yield _asked(part, kept)
+
+    return run
+
+
+def _asked(part: int, parts: list[tuple]) -> pa.RecordBatch:
+    joined = [np.concatenate(c).tobytes() for c in zip(*parts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([j], pa.binary()) for j in joined]], names=["part", "ids", "vecs", "floors", "probes"])
 
 
 def _block(k: int, parts: list[tuple]) -> pa.RecordBatch:
@@ -217,6 +255,24 @@ def _search(index: Index, k: int, epsilon: float):
     return run
 
 
+def _search_probed(index: Index, parts: int, k: int, epsilon: float):
+    """The same for blocks of queries for a group of cells: of each block those queries that probe the cell."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                cell = b.column(0)[row].as_py()
+                q_ids, q, floors = _unpack(b, row, 1, index.dim)
+                bits = np.frombuffer(b.column(7)[row].as_py(), np.uint8).reshape(len(q_ids), -1)
+                here = cell // parts
+                own = np.flatnonzero((bits[:, here >> 3] >> (7 - (here & 7))) & 1)
+                if len(own):
+                    ids, x, _ = _unpack(b, row, 4, index.dim)
+                    yield search_block(index, cell, q_ids[own], q[own], floors[own], ids, x, k, epsilon)
+
+    return run
+
+
 def search_block(index: Index, cell: int, q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, epsilon: float) -> pa.RecordBatch:
     packed, norm, match = index.code(x, cell)
     c = index.centroids[cell]
@@ -269,7 +325,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     if index is None:
         return vectors.sparkSession.createDataFrame([], "vec_id long, neighbour long, rank int, similarity double")
     rows = vectors.withColumn("floor", F.lit(float("-inf")))
-    data = written(rows.mapInArrow(_assign(index, 0, 1, block), BLOCKS).repartition("cell").mapInArrow(_gather(index.dim, block), BLOCKS), "cells")
+    data = written(rows.mapInArrow(_assign(index, block), BLOCKS).repartition("cell").mapInArrow(_gather(index.dim, block), BLOCKS), "cells")
     search, result = _search(index, k, epsilon), "id long, neighbour long, similarity double"
     right = data.select("cell", F.col("ids").alias("x_ids"), F.col("vecs").alias("x_vecs"), F.col("floors").alias("x_floors"))
     in_order = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
@@ -277,7 +333,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     home = written(data.join(right, "cell").mapInArrow(search, result).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k), "home")
     floors = home.where(F.col("rank") == k).select("id", F.col("similarity").alias("floor"))
     asking = vectors.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    asked = asking.mapInArrow(_assign(index, 1, index.probes, block), BLOCKS)
-    found = asked.join(right, "cell").mapInArrow(search, result).unionAll(home.drop("rank"))
+    parts = groups(data.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0, len(index.centroids))
+    asked = asking.mapInArrow(_ask(index, parts, block), ASKED)
+    pairs = asked.join(right.withColumn("part", (F.col("cell") % parts).cast("int")), "part").select("cell", "ids", "vecs", "floors", "x_ids", "x_vecs", "x_floors", "probes")
+    found = pairs.mapInArrow(_search_probed(index, parts, k, epsilon), result).unionAll(home.drop("rank"))
     best = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
     return best.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
