@@ -9,7 +9,9 @@ the k-th best exact similarity so far are compared exactly.
 
 How many cells a query probes is measured, not guessed: for a sample of queries the exact
 neighbours among all vectors are found, and the least number of cells that holds the wanted share
-of them (with a margin) is taken.
+of them (with a margin) is taken.  The sample that places the centroids grows with the cells.  The
+queries measured are none of it, as a vector draws its own centroid near and so seems to need fewer
+cells than others; only where the sample is the whole table are they taken from it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import bounded_sample, col, written
 
 K, EPSILON, COVERAGE = 10, 3.0, 0.97
 #: EPSILON is in standard deviations of the estimate.
-#: Bounds of the samples: vectors for the centroids, queries for the number of cells.
-MOST_TRAINED, MOST_MEASURED = 20_000, 256
+#: Sizes of the samples: vectors for the centroids, as long as that is PER_CELL for each cell, else PER_CELL for each; queries for the number of cells.
+MOST_TRAINED, MOST_MEASURED, PER_CELL = 20_000, 1024, 30
 
 
 @dataclass
@@ -46,6 +48,10 @@ class Index:
         d = (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
         return np.argsort(d, axis=1, kind="stable")
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell."""
+        return _home(x, self.centroids)
+
     def code(self, x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs of the rotated residuals, their lengths, and <signs / sqrt(d), unit residual>."""
         r = x - self.centroids[cell]
@@ -83,14 +89,21 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return unit(x[good]), rows[good]
 
 
+def _home(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of the centroids ``c``; a few million products at once."""
+    half, step = 0.5 * (c**2).sum(axis=1), max(1, (1 << 22) // len(c))
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(x[at : at + step] @ c.T - half, axis=1) for at in range(0, len(x), step))])
+
+
 def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = sample[rng.permutation(len(sample))[:cells]].copy()
     for _ in range(rounds):
-        own = np.argmax(sample @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
-        for k in range(len(c)):
-            if (mine := own == k).any():
-                c[k] = sample[mine].mean(axis=0)
+        own = _home(sample, c)
+        order = np.argsort(own, kind="stable")
+        used, first, size = np.unique(own[order], return_index=True, return_counts=True)
+        for k, at, n in zip(used, first, size, strict=True):
+            c[k] = sample[order[at : at + n]].mean(axis=0)
     return c
 
 
@@ -105,43 +118,65 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest_of_sample(queries: np.ndarray, query_ids: np.ndarray, dim: int, k: int):
-    """Exact neighbours of some queries in each batch."""
+    """Exact neighbours of some queries in each partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, rows = _matrix(b.column(1), dim)
-            ids = b.column(0).to_numpy()[rows]
-            sims = queries @ x.T
-            out = []
-            for q, own in enumerate(sims):
-                other = np.flatnonzero(ids != query_ids[q])
-                best = other[_top(ids[other], own[other], k)]
-                out += [(q, int(ids[i]), float(own[i]), x[i].tobytes()) for i in best]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["q", "id", "sim", "x"])
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, dim)))
+        held = [none] * len(queries)
+        floors = np.full(len(queries), -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                x, rows = _matrix(b.column(1), dim)
+                if not len(x):
+                    continue
+                ids = b.column(0).to_numpy()[rows]
+                sims = queries @ x.T
+                for q in np.flatnonzero(sims.max(axis=1) >= floors):
+                    some = np.flatnonzero((sims[q] >= floors[q]) & (ids != query_ids[q]))
+                    some = some[_top(ids[some], sims[q, some], k)]
+                    all_ids, all_sims, all_x = (np.concatenate(c) for c in zip(held[q], (ids[some], sims[q, some], x[some]), strict=True))
+                    best = _top(all_ids, all_sims, k)
+                    held[q] = (all_ids[best], all_sims[best], all_x[best])
+                    if len(best) == k:
+                        floors[q] = all_sims[best[-1]]
+        out = [(q, int(i), float(s), v.tobytes()) for q, mine in enumerate(held) for i, s, v in zip(*mine, strict=True)]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["q", "id", "sim", "x"])
 
     return run
 
 
+def _drawn(vectors: DataFrame, n: int, most: int) -> DataFrame:
+    """``bounded_sample``, of those rows only whose hash is small enough to be in it: else every partition would sort and send as many."""
+    if n > 2 * most:
+        vectors = vectors.where(F.xxhash64("id") < F.lit(int(2**64 * (2 * most / n)) - 2**63))
+    return bounded_sample(vectors, "id", most)
+
+
 def build(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, most_trained: int = MOST_TRAINED, most_measured: int = MOST_MEASURED) -> Index | None:
-    """The index of (id, vec); its cells grow with the square root of the vectors.  None without vectors."""
+    """The index of (id, vec); its cells grow with the square root of the vectors, and with them the sample that places them.  None without vectors."""
     n = vectors.count()
     dim = vectors.agg(F.mode(F.size("vec"))).first()[0]
     if not n or not dim or dim < 1:
         return None
-    drawn = bounded_sample(vectors, "id", most_trained).toArrow().combine_chunks()
+    cells = max(1, int(np.sqrt(n) / 2))
+    trained = max(most_trained, PER_CELL * cells)
+    drawn = _drawn(vectors, n, trained + most_measured).toArrow().combine_chunks()
     sample, rows = _matrix(drawn.column("vec").combine_chunks(), dim)
     if not len(sample):
         return None
     ids = drawn.column("id").to_numpy()[rows]
-    cells = int(np.clip(np.sqrt(n) / 2, 1, len(sample)))
-    index = Index(centroids(sample, cells), np.linalg.qr(np.random.default_rng(5).normal(size=(dim, dim)))[0], cells)
     measured, measured_ids = sample[:most_measured], ids[:most_measured]
+    if drawn.num_rows < n and len(sample) > most_measured:  # else all are trained on, and those measured are like all others
+        sample = sample[most_measured:]
+    cells = min(cells, len(sample))
+    index = Index(centroids(sample, cells), np.linalg.qr(np.random.default_rng(5).normal(size=(dim, dim)))[0], cells)
     found = vectors.mapInArrow(_nearest_of_sample(measured, measured_ids, dim, k), "q int, id long, sim double, x binary")
     best = found.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= k).toArrow()
     if best.num_rows:
         x = np.array([np.frombuffer(v, np.float64) for v in best.column("x").to_pylist()])
-        home = index.ranked(x)[:, 0]
+        home = index.home(x)
         order = index.ranked(measured)
         place = np.argsort(order, axis=1)[best.column("q").to_numpy(), home]
         index.probes = int(np.sort(place)[min(len(place) - 1, int(np.ceil(coverage * len(place))))]) + 1
@@ -157,7 +192,7 @@ def _assign(index: Index, block: int):
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 x, rows = _matrix(b.column(1), index.dim)
-                cells = index.ranked(x)[:, 0]
+                cells = index.home(x)
                 ids, floors = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows]
                 x = x.astype(np.float32)
                 for k in np.unique(cells):

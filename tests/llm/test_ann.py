@@ -89,3 +89,35 @@ def test_odd_rows_and_ties(spark):
     empty = ann.nearest(spark.createDataFrame(rows, SCHEMA).where("false"))
     assert empty.count() == 0 and empty.columns == ["vec_id", "neighbour", "rank", "similarity"]
     assert ann.nearest(spark.createDataFrame(rows[:1], SCHEMA)).count() == 0  # nobody else is there
+
+
+@pytest.mark.parametrize(("dim", "groups", "noise"), [(24, 1, 5.0), (24, 200, 0.6)])
+def test_probes_hold_for_vectors_that_no_sample_has(spark, dim, groups, noise):
+    """On a table much larger than the samples, the probed cells hold the wanted share of the neighbours of all vectors, and each cell has enough vectors to place it."""
+    n = 8000
+    x = clustered(n, dim, groups, 4, noise)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vec array<double>").repartition(4)
+    index = ann.build(df, coverage=0.9, most_trained=60, most_measured=200)
+    assert len(index.centroids) == int(np.sqrt(n) / 2)
+    x = ann.unit(x.astype(np.float64))
+    some = np.arange(0, n, 8)
+    sims = x[some] @ x.T
+    sims[np.arange(len(some)), some] = -np.inf
+    best = np.argpartition(-sims, 10, axis=1)[:, :10]
+    place = np.argsort(index.ranked(x[some]), axis=1)
+    share = (np.take_along_axis(place, index.home(x)[best], axis=1) < index.probes).mean()
+    assert share >= 0.88
+    got = np.bincount(index.home(x), minlength=len(index.centroids))
+    assert got.min() > 0 and index.probes < len(index.centroids)
+
+
+def test_the_measured_queries_are_not_trained_on(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ann, "centroids", lambda sample, cells, real=ann.centroids: seen.setdefault("sample", sample) is None or real(sample, cells))
+    real = ann._nearest_of_sample
+    monkeypatch.setattr(ann, "_nearest_of_sample", lambda q, i, dim, k: seen.setdefault("queries", q) is None or real(q, i, dim, k))
+    x = clustered(4000, 8, 3, 2)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vec array<double>")
+    index = ann.build(df, most_trained=10, most_measured=50)
+    assert len(seen["queries"]) == 50 and len(seen["sample"]) == ann.PER_CELL * len(index.centroids)
+    assert not {v.tobytes() for v in seen["sample"]} & {v.tobytes() for v in seen["queries"]}
