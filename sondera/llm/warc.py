@@ -5,6 +5,11 @@ sum, a record must have its version line, headers, a block of Content-Length byt
 blank lines, and a block digest, if there is one, must be right.  Where a check fails, the reader
 searches on for the next place at which a member or a version line begins and all checks hold,
 takes up there, and logs the bytes between as a quarantined gap.
+
+The same holds inside a member: of one that is damaged, what inflated before the damage is kept, and
+in it as in a whole one the reader goes on from a bad record to the next version line.  Where the
+member itself is damaged, a record must have a digest that is right, unless the member is only
+truncated.  As a digest says nothing of the headers, such a record bears the member's reason.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ class Record:
     headers: dict[str, str]
     block: bytes
     compressed: bool = False
+    reason: str = ""  # the check that its member failed
 
 
 @dataclass
@@ -47,6 +53,7 @@ class Gap:
     offset: int
     length: int
     reason: str
+    inside: tuple[int, int] | None = None  # of a gap in a member: where in the inflated bytes; offset and length are the member's
 
 
 def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
@@ -60,6 +67,14 @@ def member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def digest_holds(headers: dict[str, str], block: bytes) -> bool | None:
+    """None without a block digest that can be told."""
+    kind, _, value = headers.get("warc-block-digest", "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32encode(hashlib.sha1(block).digest()).decode() == value.upper()
+
+
 def parse(data, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record at ``at``: headers, block, where it ends."""
     found = _VERSION.match(data, at)
@@ -89,63 +104,118 @@ def parse(data, at: int) -> tuple[dict[str, str], bytes, int]:
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise Damaged("length")
     block = bytes(data[start:stop])
-    kind, _, value = headers.get("warc-block-digest", "").partition(":")
-    if kind.lower() == "sha1" and base64.b32encode(hashlib.sha1(block).digest()).decode() != value.upper():
+    if digest_holds(headers, block) is False:
         raise Damaged("digest")
     return headers, block, stop + 4
 
 
-def inflate(data, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends; the check sum and size are verified."""
+def inflate(data, at: int, stop: int | None = None) -> tuple[bytes, int, str]:
+    """What inflates of the gzip member at ``at``, before ``stop``, where that ends, and the check that failed: check sum and size are verified."""
     z, out, place, step = zlib.decompressobj(31), [], at, 1 << 16
-    try:
-        while not z.eof:
-            piece = bytes(data[place : place + step])
-            if not piece:
-                raise Damaged("truncated")
+    stop = len(data) if stop is None else stop
+    while not z.eof:
+        piece = bytes(data[place : min(place + step, stop)])
+        if not piece:
+            return b"".join(out), place, "truncated"
+        before = z.copy()
+        try:
             out.append(z.decompress(piece))
-            place += len(piece)
-            step = min(step * 2, 1 << 22)
-    except zlib.error:
-        raise Damaged("gzip") from None
-    return b"".join(out), place - len(z.unused_data)
-
-
-def _take(data, at: int) -> tuple[list[Record], int]:
-    """The records of the member or the one record at ``at``, and where they end."""
+        except zlib.error:
+            return b"".join([*out, *(some := _before_error(before, piece))[0]]), place + some[1], "gzip"
+        place += len(piece)
+        step = min(step * 2, 1 << 22)
+    return b"".join(out), place - len(z.unused_data), ""
+
+
+def _before_error(z, piece: bytes) -> tuple[list[bytes], int]:
+    """What ``z`` makes of the bytes before the one at which it fails, and how many these are."""
+    out, at, step = [], 0, len(piece)
+    while step := min(step, len(piece) - at):
+        before = z.copy()
+        try:
+            out.append(z.decompress(piece[at : at + step]))
+            at += step
+        except zlib.error:
+            z, step = before, step // 2
+    return out, at
+
+
+def _inside(data: bytes, failed: str) -> Iterator[Record | Gap]:
+    """Records and gaps of the inflated bytes of a member, which failed a check or not."""
+    k = 0
+    while k < len(data):
+        begin, why, got = k, "", None
+        while k < len(data) and not got:
+            try:
+                headers, block, end = parse(data, k)
+                if failed not in ("", "truncated") and not digest_holds(headers, block):
+                    raise Damaged(failed)
+                got = Record(0, 0, headers, block, True, failed)
+            except Damaged as e:
+                why = why or str(e)
+                found = _VERSION.search(data, k + 1)
+                k = found.start() if found else len(data)
+        if k > begin:
+            yield Gap(0, 0, why, (begin, k - begin))
+        if got:
+            yield got
+            k = end
+            if k == len(data) and failed:  # the rest didn't inflate
+                yield Gap(0, 0, failed, (k, 0))
+
+
+def _take(data, at: int, stop: int | None = None) -> tuple[list[Record | Gap], int, bool]:
+    """What can be had of the member, which ends before ``stop``, or the one record at ``at``, how far that was read, and whether it surely ends there."""
     if bytes(data[at : at + 3]) == MAGIC:
-        inside, end = inflate(data, at)
-        records, k = [], 0
-        while k < len(inside):
-            headers, block, k = parse(inside, k)
-            records.append(Record(at, end - at, headers, block, True))
-        if not records:
-            raise Damaged("version")
-        return records, end
+        inside, end, failed = inflate(data, at, stop)
+        found = list(_inside(inside, failed))
+        if not any(isinstance(x, Record) for x in found):
+            raise Damaged(failed or (found[0].reason if found else "version"))
+        return found, end, not failed
     headers, block, end = parse(data, at)
-    return [Record(at, end - at, headers, block)], end
+    return [Record(at, end - at, headers, block)], end, True
+
+
+def _next(data, at: int, had: list[Record | Gap] | None = None, until: int = 0) -> tuple[int, list[Record | Gap], int, bool, str]:
+    """The next place from ``at`` on where something can be had, with what ``_take`` says of it, and the check that failed at ``at``.
+
+    Records of ``had`` that are met again before ``until`` don't count: a stored member has them as they are.
+    """
+    why, size = "", len(data)
+    while at < size:
+        try:
+            found, end, whole = _take(data, at)
+            if not (had and at < until and not found[0].compressed and any(isinstance(x, Record) and (x.headers, x.block) == (found[0].headers, found[0].block) for x in had)):
+                return at, found, end, whole, why
+            at = end
+        except Damaged as e:
+            why = why or str(e)
+            start = _START.search(data, at + 1)
+            at = start.start() if start else size
+    return size, [], size, True, why
 
 
 def salvage(data) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive (bytes or a memory map) in order; together they cover it."""
+    """Records and gaps of an archive (bytes or a memory map) in order; together they cover it.
+
+    All that comes from one member has the member's offset and length; a damaged member reaches to where the reader takes up again.
+    """
     at, size = 0, len(data)
+    begin, found, end, whole, why = _next(data, 0)
     while at < size:
-        try:
-            records, end = _take(data, at)
-        except Damaged as why:
-            records, end, begin = [], size, size
-            found = _START.search(data, at + 1)
-            while found:
-                begin = found.start()
-                try:
-                    records, end = _take(data, begin)
-                    break
-                except Damaged:
-                    begin = size
-                    found = _START.search(data, found.start() + 1)
-            yield Gap(at, begin - at, str(why))
-        yield from records
-        at = end
+        if begin > at:
+            yield Gap(at, begin - at, why)
+        following = None if whole else _next(data, begin + 1, found, end)
+        at = following[0] if following else end
+        if at < end:  # it was read on into what follows
+            try:
+                found = _take(data, begin, at)[0]
+            except Damaged as e:
+                found = [Gap(0, 0, str(e))]
+        for x in found:
+            x.offset, x.length = begin, at - begin
+            yield x
+        begin, found, end, whole, why = following or _next(data, at)
 
 
 ROWS = "archive string, kind string, begin long, length long, reason string, record_id string, warc_type string, uri string, block binary"
@@ -166,10 +236,11 @@ def _rows(batches: Iterable[pa.RecordBatch], opened) -> Iterator[pa.RecordBatch]
             data = opened(b, k)
             for x in salvage(data) if data is not None else ():
                 if isinstance(x, Gap):
-                    rows.append((name, "gap", x.offset, x.length, x.reason, None, None, None, None))
+                    reason = x.reason if x.inside is None else f"{x.reason}, inflated bytes {x.inside[0]} to {sum(x.inside)}"
+                    rows.append((name, "gap", x.offset, x.length, reason, None, None, None, None))
                 else:
                     h = x.headers
-                    rows.append((name, "record", x.offset, x.length, None, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), x.block))
+                    rows.append((name, "record", x.offset, x.length, x.reason or None, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), x.block))
                     held += len(x.block)
                 if held > 8 << 20 or len(rows) >= 4096:
                     yield batch()
@@ -182,7 +253,9 @@ def salvage_archives(df: DataFrame, name_col: str = "path", content_col: str = "
     """Records and gaps of a table of archives, such as ``spark.read.format("binaryFile")`` gives.
 
     Rows of kind ``record`` have the record's id, type, target and block; rows of kind ``gap`` the
-    first check that failed.  ``begin`` and ``length`` are bytes of the archive.  A null or empty archive
+    first check that failed, and in a member that isn't lost as a whole which of the inflated bytes.
+    ``begin`` and ``length`` are bytes of the archive.  A record has a reason if its member failed a
+    check: its block is right by its digest (or whole, if the member is only truncated), its headers may not be.  A null or empty archive
     has neither; archives that are repeated are read each; other columns aren't read.
     """
 
