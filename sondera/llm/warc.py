@@ -32,6 +32,8 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+)[ \t]*:((?:[ \t]|[^\x00-\x20\x7f])*)")
 _FOLDED = re.compile(rb"[ \t]+(?:[ \t]|[^\x00-\x20\x7f])*")
+#: By name without hyphens and underscores; those of free length have no fixed digest.
+_ALGORITHMS = {name.replace("-", "").replace("_", ""): name for name in sorted(hashlib.algorithms_guaranteed) if not name.startswith("shake")}
 
 
 class Damaged(Exception):
@@ -68,11 +70,14 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 def digest_holds(headers: dict[str, str], block: bytes) -> bool | None:
-    """None without a block digest that can be told."""
+    """Whether the block digest, in hexadecimal or base32, is right; None without one of an algorithm that hashlib knows."""
     kind, _, value = headers.get("warc-block-digest", "").partition(":")
-    if kind.lower() != "sha1":
+    name, value = kind.strip().lower(), value.strip()
+    name = _ALGORITHMS.get(name.replace("-", "").replace("_", ""))
+    if not name:
         return None
-    return base64.b32encode(hashlib.sha1(block).digest()).decode() == value.upper()
+    right = hashlib.new(name, block, usedforsecurity=False).digest()
+    return value.lower() == right.hex() or value.upper().rstrip("=") == base64.b32encode(right).decode().rstrip("=")
 
 
 def parse(data, at: int) -> tuple[dict[str, str], bytes, int]:

@@ -172,3 +172,22 @@ def test_rows_say_where_in_a_member(spark):
     out = wx.salvage_archives(spark.createDataFrame([("a", data)], "path string, content binary")).collect()
     assert [r.record_id for r in out if r.kind == "record"] == ["<urn:x:0>", "<urn:x:1>", "<urn:x:2>"]
     assert [r.reason for r in out if r.kind == "gap"] == [f"version, inflated bytes {len(parts[0])} to {len(parts[0]) + 5}"]
+
+
+@pytest.mark.parametrize("form", ["hex", "HEX", "base32", "bare base32"])
+@pytest.mark.parametrize("kind", ["sha1", "SHA-1", "md5", "sha-256", "sha512", "sha3_256"])
+def test_digests_of_any_form(kind, form):
+    import base64
+    import hashlib
+
+    headers, block = records(1)[0]
+    block += b"xyz"
+    digest = hashlib.new({"SHA-1": "sha1", "sha-256": "sha256"}.get(kind, kind), block).digest()
+    value = {"hex": digest.hex(), "HEX": digest.hex().upper(), "base32": base64.b32encode(digest).decode(), "bare base32": base64.b32encode(digest).decode().rstrip("=")}[form]
+    plain = wx.record_bytes(headers, block)
+    start = plain.index(b"sha1:")
+    data = plain[:start] + f"{kind}:{value}".encode() + plain[plain.index(b"\r\n", start) :]
+    assert read(data)[0] == [("<urn:x:0>", block)] and not read(data)[1]
+    got, gaps, _ = read(data.replace(b"xyz\r\n\r\n", b"xyZ\r\n\r\n"))
+    assert not got and [g.reason for g in gaps] == ["digest"]
+    assert read(data.replace(f"{kind}:".encode(), b"crc-9:"))[0] == [("<urn:x:0>", block)]
