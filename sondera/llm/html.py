@@ -113,7 +113,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
         if name == "body":
             stack = [s for s in stack if s[0] != "head"]
         more = m[4] or m[7] or ""
-        named = "".join(f" .{c}" for x in _CLASS.findall(more) for c in "".join(x).lower().split()[:4]) if "=" in more else ""
+        named = "".join(f" .{c}" for x in _CLASS.findall(more) for c in "".join(x).lower().split()) if "=" in more else ""
         stack.append((name, name + named))
     flush()
     return out, title
@@ -157,7 +157,7 @@ def vectors(sequence: list[Block], paths: list[tuple[str, ...]] | None = None) -
     if not n:
         return out
     for k, path in enumerate(paths or [b.path for b in sequence]):
-        for depth, step in enumerate(reversed(path[-8:])):
+        for depth, step in enumerate(reversed(path)):
             for part in step.split():
                 out[k, _slot(part)] += 1 / (1 + depth)
     texts = pa.array([b.text for b in sequence], pa.large_string())

@@ -108,3 +108,14 @@ def test_odd_rows(spark, model):
     assert by[4][0].n_blocks == 30_000 and len(by[4][0].labels) == 30_000 and len(by[5]) == 2 and by[5][0] == by[5][1] and None in by
     empty = spark.createDataFrame([], SCHEMA)
     assert hx.extract(empty).count() == 0 and hx.extract(empty, model=model).columns == got.columns
+
+
+def test_the_whole_path_and_every_class_count():
+    """A landmark far above a block, and a class behind many others, are read as near ones are."""
+    deep = ("div",) * 12
+    near, far = hx.Block(deep, "text", 0), hx.Block(("footer", *deep), "text", 0)
+    a, b = hx.vectors([near])[0], hx.vectors([far])[0]
+    assert b[hx._slot("footer")] - a[hx._slot("footer")] == pytest.approx(1 / 13, abs=1e-6)
+    found, _ = hx.blocks("<body><div class='a b c d e f footer'>text</div></body>")
+    assert found[0].path == ("body", "div .a .b .c .d .e .f .footer")
+    assert hx.vectors([hx.Block(("div .footer",), "text", 0)])[0][hx._slot(".footer")] > 0 and hx.vectors(found)[0][hx._slot(".footer")] >= 1
