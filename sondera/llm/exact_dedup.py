@@ -82,8 +82,8 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([members, *rest.columns[1:]], names=["ids", "text", "size", "head"])
 
 
-def _runs(batches: Iterable[pa.RecordBatch], size: int, head: int) -> Iterator[pa.Table]:
-    """Tables that hold whole runs of equal (size, head)."""
+def _runs(batches: Iterable[pa.RecordBatch], size: int, head: int, listed: bool) -> Iterator[pa.Table]:
+    """Tables that hold whole runs of equal (size, head); ``listed`` where column 0 has lists of ids and column 1 the text."""
     left: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
@@ -93,7 +93,7 @@ def _runs(batches: Iterable[pa.RecordBatch], size: int, head: int) -> Iterator[p
             t = pa.concat_tables([left, t]).combine_chunks()
         ends = _breaks(t, size, head)
         if len(ends) == 0:
-            left = _thin(t, size) if hasattr(t.schema.field(0).type, "value_type") else t
+            left = _thin(t, size) if listed else t
             continue
         yield t.slice(0, int(ends[-1]))
         left = t.slice(int(ends[-1])).combine_chunks()
@@ -130,7 +130,7 @@ def _known(t: pa.Table, size: int, head: int) -> np.ndarray:
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _runs(batches, 2, 3):
+    for t in _runs(batches, 2, 3, True):
         owner = _owners(t.column(1).combine_chunks(), _known(t, 2, 3), HEAD)
         count = pc.list_value_length(t.column(0)).to_numpy(zero_copy_only=False)
         some = np.flatnonzero((count > 1) | (np.bincount(owner, minlength=t.num_rows)[owner] > 1))
@@ -204,7 +204,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield b.filter(pa.array(_first_rows(b, b.column(size).to_numpy(zero_copy_only=False), 0, id_at, text_at)))
 
     def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, size, size + 1):
+        for t in _runs(batches, size, size + 1, False):
             kept = t.filter(pa.array(_first_rows(t, _known(t, size, size + 1), HEAD, id_at, text_at)))
             yield from kept.select(list(range(size))).combine_chunks().to_batches()
 

@@ -73,3 +73,18 @@ def test_empty_and_small_batches(spark):
         assert x.exact_dedup(df.repartition(3)).count() == len(corpus()) - want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("names", [("tags", "doc_id", "text"), ("tags", "text", "doc_id")])
+def test_the_first_column_may_be_an_array(spark, names):
+    """One long run of equal texts, of more than a batch, in tables that begin with an array."""
+    rows = [{"tags": [k, -k], "doc_id": k, "text": "same" if k % 3 else "also"} for k in range(50)]
+    kinds = {"tags": "array<long>", "doc_id": "long", "text": "string"}
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows[::-1]], ", ".join(f"{n} {kinds[n]}" for n in names)).repartition(8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted((r.doc_id, r.text, list(r.tags)) for r in x.exact_dedup(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(0, "also", [0, 0]), (1, "same", [1, -1])]
