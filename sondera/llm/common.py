@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,37 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def col(df: DataFrame, name: str):
-    """The column of that very name, dots and all."""
-    return df["`" + name.replace("`", "``") + "`"]
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of that very name is; without one, the column whose name differs in case only."""
+    found = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{'more than one' if found else 'no'} column {name} in {df.columns}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ...: names that clash, in case too, are no trouble then."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """The columns of the given names under those of the keywords."""
+    return by_place(df).select(*[F.col(f"c{place(df, name)}").alias(new) for new, name in columns.items()])
+
+
+def whole(df: DataFrame, name: str) -> int:
+    """``place`` of a column of ids, which must be integers: others are refused before anything runs."""
+    at = place(df, name)
+    kind = df.schema.fields[at].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"column {name} must have integers, not {kind.simpleString()}")
+    return at
+
+
+def rows_of(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
+    """``picked`` with the ids, as ``id``, in 64 bits before the other columns."""
+    whole(df, id_col)
+    return picked(df, id=id_col, **columns).withColumn("id", F.col("id").cast("long"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +84,9 @@ def discard(df: DataFrame) -> None:
     if path:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """The ``most`` rows whose key has the least hash: the same rows in any layout of the table."""
-    return df.orderBy(F.xxhash64(col(df, key)), col(df, key)).limit(most)
+    return df.orderBy(F.xxhash64(key), key).limit(most)

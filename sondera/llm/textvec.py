@@ -3,24 +3,44 @@
 Everything works on the UTF-8 buffer itself, in pieces of about ``CHUNK`` bytes, so the memory of a
 Python worker is bounded by that and not by the size of a batch.  A text longer than a piece is cut
 between tokens and put together again; whole texts are always read.
+
+A token is a run of letters, digits and marks; in scripts that are written without spaces (Chinese,
+Japanese kana, Thai, Lao, Khmer, Myanmar) every character is one, so that successive tokens are runs of
+characters.  Punctuation and symbols separate whatever their width, in ``RUNS`` they are tokens too.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.cumprod(np.full(4096, _BASE | np.uint64(1), dtype=np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, and 5 of 8, so its powers repeat after 2 ** 62 only
+_POW = np.cumprod(np.full(4096, _BASE, dtype=np.uint64))
 
 _BYTES = np.arange(256)
 _WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
-#: Byte classes: 0 separates, 1 is a word byte, 2 is punctuation (only kept by ``runs``).
+#: Byte classes: 0 separates, 1 is a word byte, 2 is punctuation (only kept by ``RUNS``), 3 is of a character that is a token.
 WORDS = _WORD.astype(np.uint8)
 RUNS = np.where(_WORD, 1, np.where(_BYTES > 32, 2, 0)).astype(np.uint8)
+_SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FE), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+
+
+def _plane() -> np.ndarray:
+    """The class of each character of the basic plane."""
+    kinds = {"L": 1, "M": 1, "N": 1, "C": 1, "P": 2, "S": 2, "Z": 0}
+    out = np.array([kinds[unicodedata.category(chr(c))[0]] for c in range(1 << 16)], np.uint8)
+    for lo, hi in _SINGLE:
+        own = out[lo : hi + 1]
+        own[own == 1] = 3
+    out[[*range(0x80, 0xA0), 0x200B, 0x2060, 0xFEFF]] = 0
+    return out
+
+
+_PLANE = _plane()
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8).tobytes()
 
 
@@ -52,10 +72,43 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def kinds(body: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of every byte, that of its character, and where characters of class 3 begin; bytes that aren't UTF-8 are word bytes."""
+    kind = np.frombuffer(body.tobytes().translate(classes.tobytes()), np.uint8)
+    lead = np.flatnonzero(body >= 0xC2)
+    if not len(lead):
+        return kind, lead
+    kind, begins = kind.copy(), []
+    first = body[lead]
+    for size, most in ((2, 0xE0), (3, 0xF0), (4, 0xF5)):
+        own = lead[(first < most) & (first >= (0, 0, 0xC2, 0xE0, 0xF0)[size])]
+        own = own[own + size <= len(body)]
+        code = (body[own] & (0x7F >> size)).astype(np.int32)
+        for k in range(1, size):
+            code = code << 6 | (body[own + k] & 0x3F)
+        what = _PLANE[code] if size < 4 else np.where((code >= 0x20000) & (code < 0x40000), 3, np.where((code >= 0x1F000) & (code < 0x1FC00), 2, 1)).astype(np.uint8)
+        if not classes[33]:  # punctuation isn't kept
+            what = np.where(what == 2, 0, what)
+        other = what != 1
+        own, what = own[other], what[other]
+        for k in range(size):
+            kind[own + k] = what
+        begins.append(own[what == 3])
+    return kind, np.concatenate(begins)
+
+
+def _powers(place: np.ndarray) -> np.ndarray:
+    """Powers of the base for places in a token, of any length."""
+    most = int(place.max()) >> 12
+    low = _POW[place & 4095]
+    if not most:
+        return low
+    return low * np.cumprod(np.append(np.uint64(1), np.full(most, _POW[-1], np.uint64)))[place >> 12]
+
+
 def _hash(body: np.ndarray, cuts: np.ndarray, classes: np.ndarray, fold: bool, prefixes: tuple[int, ...]):
     """Token hashes of ``body``, where no token crosses one of ``cuts``: (hashes, start bytes, one array per prefix)."""
-    text = body.tobytes()
-    kind = np.frombuffer(text.translate(classes.tobytes()), np.uint8)
+    kind, single = kinds(body, classes)
     kept = np.flatnonzero(kind)
     if len(kept) == 0:
         e = np.zeros(0, np.uint64)
@@ -65,13 +118,15 @@ def _hash(body: np.ndarray, cuts: np.ndarray, classes: np.ndarray, fold: bool, p
     first[0] = True
     np.not_equal(kind[1:], kind[:-1], out=first[1:])
     first[1:] |= kept[1:] != kept[:-1] + 1
+    if len(single):
+        first[np.searchsorted(kept, single)] = True
     inside = np.searchsorted(kept, cuts)
     first[inside[inside < len(kept)]] = True
     begin = np.flatnonzero(first)
     size = np.diff(np.append(begin, len(kept)))
     place = np.arange(len(kept)) - np.repeat(begin, size)
-    letters = np.frombuffer(text.translate(_LOWER), np.uint8) if fold else body
-    value = (letters[kept].astype(np.uint64) + np.uint64(1)) * _POW[place & 4095]
+    letters = np.frombuffer(body.tobytes().translate(_LOWER), np.uint8) if fold else body
+    value = (letters[kept].astype(np.uint64) + np.uint64(1)) * _powers(place)
     whole = mix(np.add.reduceat(value, begin))
     heads = []
     for k in prefixes:
@@ -95,10 +150,13 @@ def token_hashes(column: pa.Array, classes: np.ndarray = WORDS, fold: bool = Tru
             while at < len(part):
                 end = min(len(part), at + CHUNK)
                 step = 65536
-                while end < len(part):  # on to the next byte that separates
-                    gaps = np.flatnonzero(classes[part[end : end + step]] == 0)
+                while end < len(part):  # on to the next character that separates or is a token by itself
+                    while end < len(part) and part[end] & 0xC0 == 0x80:
+                        end += 1
+                    kind, single = kinds(part[end : end + step], classes)
+                    gaps = np.append(np.flatnonzero(kind == 0), single)
                     if len(gaps):
-                        end += int(gaps[0])
+                        end += int(gaps.min())
                         break
                     end = min(len(part), end + step)
                 found.append(_hash(part[at:end], np.zeros(0, np.int64), classes, fold, prefixes))
