@@ -78,3 +78,84 @@ def test_odd_rows(spark, fitted):
     nothing = tx.score_toxicity(docs, labels.where("false"))
     assert nothing.count() == docs.count() and nothing.where("is_toxic").count() == 0
     assert tx.drop_toxic(docs.where("false"), labels.where("false")).count() == 0
+
+
+def risk(w, b, xp, xu, prior):
+    """The corrected risk by its definition, document by document: its positive part, and its negative part before the clamp."""
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-z))
+
+    def loss(doc, label):  # the sigmoid loss
+        return sigmoid(-label * (sum(w[f] for f in doc) + b))
+
+    positive = prior * sum(loss(d, 1) for d in xp) / len(xp)
+    return positive, sum(loss(d, -1) for d in xu) / len(xu) - prior * sum(loss(d, -1) for d in xp) / len(xp)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_gradient_against_the_risk_by_its_definition(prior):
+    rng = np.random.default_rng(2)
+    xp, xu = ([np.unique(rng.integers(0, 6, rng.integers(1, 4))) for _ in range(n)] for n in (7, 11))
+    w, b = rng.normal(size=6), -0.3
+    if prior > 0.5:
+        xp = [np.array([0, 1])] * 7
+        w[:2] = 2.0
+    gw, gb, positive, negative = tx.gradient(w, b, xp, xu, prior)
+    want = risk(w, b, xp, xu, prior)
+    assert (positive, negative) == pytest.approx(want)
+
+    def objective(w, b):
+        p, n = risk(w, b, xp, xu, prior)
+        return p + n if want[1] >= 0 else -n
+
+    eps = 1e-6
+    for k in range(6):
+        step = np.eye(6)[k] * eps
+        assert gw[k] == pytest.approx((objective(w + step, b) - objective(w - step, b)) / (2 * eps), abs=1e-6)
+    assert gb == pytest.approx((objective(w, b + eps) - objective(w, b - eps)) / (2 * eps), abs=1e-6)
+    assert (want[1] < 0) == (prior > 0.5)
+
+
+def test_fit_lowers_the_risk():
+    rng = np.random.default_rng(1)
+    clean = [np.unique(rng.integers(100, 200, 20)).astype(np.uint32) for _ in range(400)]
+    bad = [np.unique(np.append(rng.integers(100, 200, 20), rng.integers(0, 5, 3))).astype(np.uint32) for _ in range(80)]
+    model = tx.fit(bad[:40], clean + bad[40:], 40 / 440)
+    at = {int(f): k for k, f in enumerate(model.features)}
+    rows = [[[at[int(f)] for f in d if int(f) in at] for d in docs] for docs in (bad[:40], clean + bad[40:])]
+
+    def total(w, b):
+        p, n = risk(w, b, *rows, 40 / 440)
+        return p + max(0, n)
+
+    assert total(model.weights, model.bias) < 0.5 * total(np.zeros(len(model.weights)), -1.0)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_estimated_prior(share):
+    rows = documents(3000, 4, share)
+    lists = [np.frombuffer(x.as_py(), np.uint32) for o in tx._features([pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array([r[1] for r in rows])], names=["a", "b"])]) for x in o.column(1)]
+    positive = [x for x, r in zip(lists, rows, strict=True) if r[3]][:150]
+    assert tx.estimated_prior(positive, lists) == pytest.approx(np.mean([r[3] for r in rows]), abs=0.05)
+    assert tx.estimated_prior(positive[:2], lists) == 0 and tx.estimated_prior(lists[:50], lists) <= 0.95
+
+
+def test_confirmed_positives_alone_are_enough(spark):
+    """60 of 300 are toxic, 30 of them confirmed, nothing else is labelled: with the default prior all are found, and no clean one."""
+    rows = documents(3000, 7)
+    toxic = [r for r in rows if r[3]][:60]
+    rows = toxic + [r for r in rows if not r[3]][:240]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, x string")
+    labels = spark.createDataFrame([(r[0], 1) for r in toxic[::2]], "doc_id long, toxic int")
+    scored = {r.doc_id: r.is_toxic for r in tx.score_toxicity(docs, labels).collect()}
+    assert np.mean([scored[r[0]] for r in toxic]) > 0.95 and np.mean([scored[r[0]] for r in rows if not r[3]]) < 0.02
+
+
+def test_texts_without_features_are_never_toxic(spark):
+    model = tx.Model(np.array([5], np.uint32), np.array([1.0]), 0.35)  # a bias above 0, as of a large prior
+    assert model.score(pa.array([None, "", "clean words"])).tolist() == [0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, Text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert tx.score_toxicity(df, labels).first().is_toxic is False and tx.drop_toxic(df, labels).columns == df.columns
+    with pytest.raises(TypeError, match="must have integers"):
+        tx.score_toxicity(spark.createDataFrame([("a", "b")], "doc_id string, text string"), labels)
