@@ -7,10 +7,12 @@ that a shingle's ranks for all coordinates lie side by side in the table: a sign
 coordinate-wise minimum of contiguous slices.
 
 Documents that agree in a band are candidates.  In each bucket all are first held against the
-bucket's least id; then, for those buckets whose documents that hasn't joined into one group, every
-remaining pair of different groups is verified.  Since pairs within one group can't change it, the
-groups are exactly the components of the graph of all verified candidate pairs, without the
-quadratic work that a bucket of many copies would be.
+bucket's least id, which joins a bucket of many copies into one group by as many comparisons as it has
+documents.  For those buckets whose documents that hasn't joined into one group, the pairs of different
+groups are compared by their signatures, block by block, so that no pair is written down but those whose
+signatures can belong to a pair above the threshold (``LEEWAY`` deviations below it); these are
+verified.  Since pairs within one group can't change it, the groups are those of the graph of all
+verified candidate pairs: no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import col, discard, fresh, written
+from .common import by_place, discard, rows_of, whole, written
 from .components import components
 from .textvec import mix, shingles, token_hashes
 
 #: Positions of the circle, words of a shingle, bands and rows: at a Jaccard of 0.5 a pair shares a band with probability 0.92, at 0.6 0.996.
 #: One changed word changes three shingles: at 0.5 a tenth of the words may differ.
 CIRCLE, SHINGLE, BANDS, ROWS, THRESHOLD = 1 << 20, 3, 40, 4, 0.5
+#: Documents of a bucket that are compared with as many others in one go; deviations of the signatures' agreement.
+BLOCK, LEEWAY = 4096, 5.0
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -76,6 +80,62 @@ def _bands(bands: int, rows: int, k: int):
     return run
 
 
+def _signed(turns: int, k: int):
+    """(id, signature): the low byte of each coordinate; by chance one in 256 agrees."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, hashes, offsets, _ in token_hashes(b.column(1)):
+                own, cuts = shingles(hashes, offsets, k)
+                low = (signatures(own, cuts, turns) & np.uint32(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "signature"])
+
+    return run
+
+
+def _alike(threshold: float, turns: int):
+    """Of rows (key, i, j, block, id, comp, leader, signature), sorted: the pairs of blocks i and j that may reach the threshold."""
+    least = threshold * turns - LEEWAY * np.sqrt(turns * threshold * (1 - threshold))
+
+    def pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        i, j, block, ids, comp, leader = (rows.column(c).to_numpy(zero_copy_only=False) for c in range(1, 7))
+        sign = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(len(ids), turns)
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        found_a, found_b = [], []
+        for row in left:
+            others = right[(comp[right] != comp[row]) & ((ids[right] > ids[row]) if i[0] == j[0] else True)]
+            near = others[(sign[others] == sign[row]).sum(axis=1) >= least]
+            near = near[np.minimum(ids[near], ids[row]) != leader[row]]  # those are verified already
+            found_a.append(np.minimum(ids[near], ids[row]))
+            found_b.append(np.maximum(ids[near], ids[row]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + found_a), np.concatenate(none + found_b)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.RecordBatch | None = None
+        for b in batches:
+            b = b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
+                continue
+            same = np.ones(b.num_rows - 1, bool)
+            for c in range(3):
+                x = b.column(c).to_numpy()
+                same &= x[1:] == x[:-1]
+            cuts = np.append(0, np.flatnonzero(~same) + 1)
+            out = [pairs(b.slice(int(p), int(q - p))) for p, q in zip(cuts, cuts[1:], strict=False)]
+            left = b.slice(int(cuts[-1]))
+            if out:
+                yield _edges(out)
+        if left is not None:
+            yield _edges([pairs(left)])
+
+    return run
+
+
+def _edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["a", "b"])
+
+
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for lo, hi, hashes, offsets, _ in token_hashes(column):
@@ -115,13 +175,15 @@ def _compare(threshold: float, k: int):
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
     """(doc_id, dup_of) for every document but the one of least id in each group of near-duplicates.
 
-    Shingles are ``k`` successive words in lower case (ASCII), so equal word sequences are near-duplicates
-    whatever stands between the words.  A document with a null id, or without a word, is in no group; a
-    shorter document than ``k`` words has one shingle of all of them.  Rows that repeat an id are one
-    document if their texts are equal; if the texts differ, the id is near whatever one of them is near.
-    Other columns aren't read; an empty table gives an empty result.
+    ``dup_of`` is the group: two documents of a verified pair always have the same, however many copies
+    there are.  Shingles are ``k`` successive tokens of ``textvec`` in lower case (ASCII) over the whole text,
+    however long, so equal token sequences are near-duplicates whatever stands between the tokens.  A
+    document with a null id, or without a token, is in no group; one of fewer than ``k`` tokens has one
+    shingle of all of them.  Rows that repeat an id are one document if their texts are equal; if the texts
+    differ, the id is near whatever one of them is near.  Ids must be integers; other columns, whatever
+    their names, aren't read; an empty table gives an empty result.
     """
-    docs = df.select(col(df, id_col).cast("long").alias("id"), col(df, text_col).alias("text")).where("id is not null and text is not null")
+    docs = rows_of(df, id_col, text=text_col).where("id is not null and text is not null")
     in_key = W.partitionBy("key")
     buckets = docs.mapInArrow(_bands(bands, rows, k), "key long, id long").withColumn("leader", F.min("id").over(in_key))
     # a bucket of one id is no bucket
@@ -133,12 +195,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = components(edges)
     # what is left: buckets with documents of more than one group, and there the pairs of different groups
     grouped = shared.join(groups, "id", "left").select("key", "id", "leader", F.coalesce("comp", "id").alias("comp"))
-    mixed = grouped.withColumn("least", F.min("comp").over(in_key)).withColumn("most", F.max("comp").over(in_key)).where("least <> most").select("key", "id", "leader", "comp")
-    mixed = written(mixed, "mixed")
-    left = mixed.select("key", "leader", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-    right = mixed.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    rest = left.join(right, "key").where("a < b and comp_a <> comp_b and a <> leader").select("a", "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
+    mixed = grouped.withColumn("least", F.min("comp").over(in_key)).withColumn("most", F.max("comp").over(in_key)).where("least <> most")
+    at = mixed.withColumn("block", F.expr(f"cast((row_number() over (partition by key order by id) - 1) div {BLOCK} as int)"))
+    mixed = written(at.select("key", "id", "leader", "comp", "block", F.max("block").over(in_key).alias("last")), "mixed")
+    signed = texts.join(mixed.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_signed(bands * rows, k), "id long, signature binary")
+    met = mixed.withColumn("other", F.explode(F.expr("sequence(0, last)"))).join(signed, "id")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "leader", "signature")
+    rest = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(threshold, bands * rows), "a long, b long").distinct()
     more = written(_verified(rest, texts, threshold, k), "verified")
     discard(mixed)
     all_edges = edges.select("a", "b").unionAll(more.select("a", "b"))
@@ -149,11 +212,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``df`` without the documents of ``near_duplicates``: of each group the one of least id stays, with all columns.
+    """``df`` without the documents of ``near_duplicates``: of each group the one of least id stays, with all columns, whatever their names.
 
-    Rows with a null id stay; rows that repeat an id stay or go together.
+    Rows with a null id stay, as do those with a null or empty text; rows that repeat an id stay or go
+    together; an empty table stays empty.
     """
-    dropped = near_duplicates(df, id_col, text_col, **parameters).select("doc_id")
-    name = fresh(df, "dropped_id")
-    gone = dropped.withColumnRenamed("doc_id", name)
-    return df.join(gone, col(df, id_col) == gone[name], "left_anti")
+    gone = near_duplicates(df, id_col, text_col, **parameters).select(F.col("doc_id").alias("gone"))
+    rows = by_place(df)
+    return rows.join(gone, rows[f"c{whole(df, id_col)}"].cast("long") == gone["gone"], "left_anti").toDF(*df.columns)
