@@ -4,8 +4,10 @@ Vectors lie in cells round sampled centroids.  In its cell a vector's residual,
 and turned by one random rotation, is coded by its signs: one bit a dimension, packed.  With the
 correction <signs, residual> / sqrt(d) kept as a scalar, the packed bits give an unbiased estimate of
 the inner product with a query's rotated residual, and an error bound that a chosen share of pairs
-keep.  A query goes through the cells it probes; in each, only vectors whose bound can still reach
-the k-th best exact similarity so far are compared exactly.
+keep.  The index has every vector's code and scalars, made once, in one table with the vectors by cell;
+a search reads the codes of the cells that it probes, and compares exactly only those vectors whose bound
+reaches the k-th best exact similarity known so far.  That comes from a first search of a query's
+nearest cells, of which the best by estimate are compared.
 
 How many cells a query probes is measured, not guessed: for a sample of queries the exact
 neighbours among all vectors are found, and the least number of cells that holds the wanted share
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded_sample, col, written
+from .common import bounded_sample, rows_of, written
 
-K, EPSILON, COVERAGE = 10, 3.0, 0.97
-#: EPSILON is in standard deviations of the estimate.
+#: Queries are the rows whose id is divisible by EVERY.  EPSILON is in standard deviations of the estimate.
+K, EVERY, EPSILON, COVERAGE = 10, 100, 3.0, 0.97
+#: The first search of a query goes through its nearest cell, and of the others it probes one in FIRST; of each the best FEW * k by estimate are compared.
+FIRST, FEW = 16, 2
 #: Sizes of the samples: vectors for the centroids, as long as that is PER_CELL for each cell, else PER_CELL for each; queries for the number of cells.
 MOST_TRAINED, MOST_MEASURED, PER_CELL = 20_000, 1024, 30
 
@@ -52,26 +56,34 @@ class Index:
         """The nearest cell."""
         return _home(x, self.centroids)
 
-    def code(self, x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Packed signs of the rotated residuals, their lengths, and <signs / sqrt(d), unit residual>."""
-        r = x - self.centroids[cell]
+    def code(self, x: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """Packed signs of the rotated residuals, and three scalars for each.
+
+        They are the factor that makes of <signs, turned query> an estimate, the deviation of its error for a
+        query at distance 1 from the centroid c, and <c, x - c>.
+        """
+        c = self.centroids[cell]
+        r = x - c
         norm = np.linalg.norm(r, axis=1)
-        unit = np.divide(r, norm[:, None], out=np.zeros_like(r), where=norm[:, None] > 0) @ self.rotation
-        signs = unit >= 0
-        return np.packbits(signs, axis=1), norm, np.abs(unit).sum(axis=1) / np.sqrt(self.dim)
+        turned = np.divide(r, norm[:, None], out=np.zeros_like(r), where=norm[:, None] > 0) @ self.rotation
+        match = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(self.dim), 1e-6)
+        error = np.sqrt(np.maximum(1 - match**2, 0)) / match * norm / np.sqrt(max(self.dim - 1, 1))
+        return np.packbits(turned >= 0, axis=1), np.stack([norm / (np.sqrt(self.dim) * match), error, r @ c], axis=1).astype(np.float32)
 
-    def estimate(self, queries: np.ndarray, packed: np.ndarray, norm: np.ndarray, match: np.ndarray, cell: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of queries with coded vectors, and the bounds of their errors."""
+    def ahead(self, queries: np.ndarray, cell: int, epsilon: float) -> np.ndarray:
+        """Queries so laid out that their products with ``behind`` are estimates plus ``epsilon`` deviations."""
         c = self.centroids[cell]
         q = queries - c
-        length = np.linalg.norm(q, axis=1).astype(np.float32)
-        turned = (q @ self.rotation).astype(np.float32)
-        signs = np.unpackbits(packed, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        safe = np.maximum(match, 1e-6)
-        # <q, x> = <q, c> + <c, x - c> + <q - c, x - c>; the first two are the caller's
-        inner = turned @ (signs * (norm / (np.sqrt(self.dim) * safe))[:, None].astype(np.float32)).T
-        slack = np.sqrt(np.maximum(1 - safe**2, 0)) / safe * norm / np.sqrt(max(self.dim - 1, 1))
-        return inner, (epsilon * length)[:, None] * slack.astype(np.float32)[None, :]
+        return np.column_stack([q @ self.rotation, epsilon * np.linalg.norm(q, axis=1), np.ones(len(q)), queries @ c]).astype(np.float32)
+
+    def behind(self, packed: np.ndarray, scalars: np.ndarray) -> np.ndarray:
+        """<q, x> = <q, c> + <c, x - c> + <q - c, x - c>, of which the last is estimated."""
+        out = np.empty((len(packed), self.dim + 3), np.float32)
+        np.multiply(np.unpackbits(packed, axis=1, count=self.dim), 2 * scalars[:, :1], out=out[:, : self.dim])
+        out[:, : self.dim] -= scalars[:, :1]
+        out[:, self.dim : self.dim + 2] = scalars[:, 1:]
+        out[:, -1] = 1
+        return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -183,32 +195,73 @@ def build(vectors: DataFrame, k: int = K, coverage: float = COVERAGE, most_train
     return index
 
 
+#: Blocks of up to some thousand vectors of one cell.  ``block`` is the first id, which no other block has; scalars and vecs are of single precision.
+BLOCKS = "cell int, block long, n int, ids binary, codes binary, scalars binary, vecs binary"
+#: Blocks of queries for a group of cells; ``probes`` has the cells of the group that each probes, as packed bits.
+ASKED = "part int, ids binary, vecs binary, floors binary, probes binary"
+#: Pairs to be compared: the queries, and for each pair the places of the query among them and of the vector in its block.
+PAIRS = "block long, ids binary, vecs binary, floors binary, query binary, place binary"
+
+
+def _batch(schema: str, values: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], kinds[t]) for (_, t), v in zip(fields, values, strict=True)], names=[n for n, _ in fields])
+
+
+def _of(b: pa.RecordBatch, column: int, row: int, kind, width: int = 0) -> np.ndarray:
+    flat = np.frombuffer(b.column(column)[row].as_py(), kind)
+    return flat.reshape(-1, width) if width else flat
+
+
+def _block(cell: int, parts: list[tuple]) -> pa.RecordBatch:
+    ids, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return _batch(BLOCKS, [cell, int(ids[0]), len(ids), ids, *rest])
+
+
 def _assign(index: Index, block: int):
-    """Blocks (cell, ids, vecs, floors) of the rows (id, vec, floor) in their nearest cells, as far as one partition has them."""
+    """Blocks of the rows (id, vec) in their nearest cells, coded, as far as one partition has them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, min(block, 4096)):
+                b = whole.slice(at, min(block, 4096))
                 x, rows = _matrix(b.column(1), index.dim)
                 cells = index.home(x)
-                ids, floors = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows]
-                x = x.astype(np.float32)
+                ids = b.column(0).to_numpy()[rows]
                 for k in np.unique(cells):
                     own = np.flatnonzero(cells == k)
                     mine = held.setdefault(int(k), [])
-                    mine.append((ids[own], x[own], floors[own]))
-                    if sum(len(m[0]) for m in mine) >= block:
-                        yield _block(int(k), held.pop(int(k)))
+                    if sum(len(m[0]) for m in mine) + len(own) > block:
+                        yield _block(int(k), mine)
+                        mine.clear()
+                    mine.append((ids[own], *index.code(x[own], k), x[own].astype(np.float32)))
         for k, mine in held.items():
-            yield _block(k, mine)
+            if mine:
+                yield _block(k, mine)
 
     return run
 
 
-BLOCKS = "cell int, ids binary, vecs binary, floors binary"
-ASKED = "part int, ids binary, vecs binary, floors binary, probes binary"
+def _gather(dim: int, block: int):
+    """Makes of a cell's blocks, from all partitions, as few as can be."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for row in range(b.num_rows):
+                k, n = b.column(0)[row].as_py(), b.column(2)[row].as_py()
+                mine = held.setdefault(k, [])
+                if mine and sum(len(m[0]) for m in mine) + n > block:
+                    yield _block(k, mine)
+                    mine.clear()
+                mine.append((_of(b, 3, row, np.int64), _of(b, 4, row, np.uint8, -(-dim // 8)), _of(b, 5, row, np.float32, 3), _of(b, 6, row, np.float32, dim)))
+        for k, mine in held.items():
+            if mine:
+                yield _block(k, mine)
+
+    return run
 
 
 def groups(n: int, cells: int) -> int:
@@ -216,8 +269,8 @@ def groups(n: int, cells: int) -> int:
     return max(1, min(cells, max(16, int(n) // 8192)))
 
 
-def _ask(index: Index, parts: int, block: int):
-    """Blocks of the queries (id, vec, floor) for each group of cells, with the cells of the group that each query probes as packed bits; its own cell isn't among them."""
+def _ask(index: Index, parts: int, most: int, block: int):
+    """Blocks of the queries (id, vec, floor) for each group of cells, with the cells among their ``most`` nearest that are in it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -227,7 +280,7 @@ def _ask(index: Index, parts: int, block: int):
                 b = whole.slice(at, 1024)
                 x, rows = _matrix(b.column(1), index.dim)
                 wanted = np.zeros((len(x), -(-cells // parts) * parts), bool)
-                np.put_along_axis(wanted, index.ranked(x)[:, 1 : index.probes], True, axis=1)
+                np.put_along_axis(wanted, index.ranked(x)[:, :most], True, axis=1)
                 ids, floors, x = b.column(0).to_numpy()[rows], b.column(2).to_numpy()[rows], x.astype(np.float32)
                 for part in range(parts):
                     mine = wanted[:, part::parts]
@@ -236,141 +289,112 @@ def _ask(index: Index, parts: int, block: int):
                         kept = held.setdefault(part, [])
                         kept.append((ids[own], x[own], floors[own], np.packbits(mine[own], axis=1)))
                         if sum(len(m[0]) for m in kept) >= block:
-                            yield _asked(part, held.pop(part))
+                            yield _batch(ASKED, [part, *map(np.concatenate, zip(*held.pop(part), strict=True))])
         for part, kept in held.items():
-            yield _asked(part, kept)
+            yield _batch(ASKED, [part, *map(np.concatenate, zip(*kept, strict=True))])
 
     return run
 
 
-def _asked(part: int, parts: list[tuple]) -> pa.RecordBatch:
-    joined = [np.concatenate(c).tobytes() for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([j], pa.binary()) for j in joined]], names=["part", "ids", "vecs", "floors", "probes"])
-
-
-def _block(k: int, parts: list[tuple]) -> pa.RecordBatch:
-    joined = [np.concatenate(c).tobytes() for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([j], pa.binary()) for j in joined]], names=["cell", "ids", "vecs", "floors"])
-
+def candidates(index: Index, cell: int, q: np.ndarray, floors: np.ndarray, packed: np.ndarray, scalars: np.ndarray, k: int | None, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a vector of the cell, from codes alone: those whose bound reaches the query's floor, or with ``k`` the best FEW * k by estimate."""
+    behind = index.behind(packed, scalars).T
+    rows, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    step = max(1, (1 << 20) // max(len(packed), 1))
+    for at in range(0, len(q), step):
+        ahead = index.ahead(q[at : at + step], cell, epsilon if k is None else 0.0)
+        if k is None:
+            ahead[:, -1] -= (floors[at : at + step] - 1e-5).astype(np.float32)  # then those not below 0 reach it
+            row, place = np.nonzero(ahead @ behind >= 0)
+        else:
+            few = min(FEW * k, len(packed))
+            place = np.argpartition(-(ahead @ behind), few - 1, axis=1)[:, :few].ravel()
+            row = np.repeat(np.arange(len(ahead)), few)
+        rows.append((at + row).astype(np.int32))
+        places.append(place.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(places)
 
-def _unpack(b: pa.RecordBatch, row: int, at: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, vecs, floors = (b.column(at + j)[row].as_py() for j in range(3))
-    return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float32).reshape(-1, dim).astype(np.float64), np.frombuffer(floors, np.float64)
 
-
-def _gather(dim: int, block: int):
-    """Makes of a cell's blocks, from all partitions, as few as can be."""
+def _scan(index: Index, parts: int, k: int | None, epsilon: float):
+    """Of a block of queries and a block of codes: the pairs to be compared, with the queries that they need."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
         for b in batches:
             for row in range(b.num_rows):
-                k = b.column(0)[row].as_py()
-                ids, x, floors = _unpack(b, row, 1, dim)
-                mine = held.setdefault(k, [])
-                mine.append((ids, x.astype(np.float32), floors))
-                if sum(len(m[0]) for m in mine) >= block:
-                    yield _block(k, held.pop(k))
-        for k, mine in held.items():
-            yield _block(k, mine)
+                cell, block = b.column(0)[row].as_py(), b.column(1)[row].as_py()
+                ids = _of(b, 4, row, np.int64)
+                bits = _of(b, 7, row, np.uint8).reshape(len(ids), -1)
+                here = cell // parts
+                own = np.flatnonzero((bits[:, here >> 3] >> (7 - (here & 7))) & 1)
+                if len(own):
+                    q, floors = _of(b, 5, row, np.float32, index.dim)[own], _of(b, 6, row, np.float64)[own]
+                    query, place = candidates(index, cell, q, floors, _of(b, 2, row, np.uint8, -(-index.dim // 8)), _of(b, 3, row, np.float32, 3), k, epsilon)
+                    if len(query):
+                        used, query = np.unique(query, return_inverse=True)
+                        yield _batch(PAIRS, [block, ids[own][used], q[used], floors[used], query.astype(np.int32), place])
 
     return run
 
 
-def _search(index: Index, k: int, epsilon: float):
-    """For each pair of a block of queries and a block of a cell: the k best of the cell that reach the query's floor."""
+def _compare(dim: int, k: int):
+    """Exact similarities of pairs, those that reach their query's floor; of one block the k best for each query."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                q_ids, q, floors = _unpack(b, row, 1, index.dim)
-                ids, x, _ = _unpack(b, row, 4, index.dim)
-                yield search_block(index, b.column(0)[row].as_py(), q_ids, q, floors, ids, x, k, epsilon)
+                q_ids, q, floors = _of(b, 0, row, np.int64), _of(b, 1, row, np.float32, dim), _of(b, 2, row, np.float64)
+                query, place = _of(b, 3, row, np.int32), _of(b, 4, row, np.int32)
+                ids, x = _of(b, 5, row, np.int64), _of(b, 6, row, np.float32, dim)
+                exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[query[at : at + 65536]], x[place[at : at + 65536]], dtype=np.float64) for at in range(0, len(query), 65536))])
+                good = np.flatnonzero((exact >= floors[query] - 1e-6) & (q_ids[query] != ids[place]))
+                query, place, exact = query[good], place[good], exact[good]
+                order = np.lexsort((ids[place], -exact, query))
+                query, place, exact = query[order], place[order], exact[order]
+                best = np.arange(len(query)) - np.searchsorted(query, query) < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query[best]]), pa.array(ids[place[best]]), pa.array(exact[best])], names=["id", "neighbour", "similarity"])
 
     return run
 
 
-def _search_probed(index: Index, parts: int, k: int, epsilon: float):
-    """The same for blocks of queries for a group of cells: of each block those queries that probe the cell."""
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY, coverage: float = COVERAGE, epsilon: float = EPSILON, block: int = 4096, slice_of: int = 1 << 16) -> DataFrame:
+    """(vec_id, neighbour, rank, similarity): for every row whose id is divisible by ``every`` its ``k`` nearest other rows by cosine.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                cell = b.column(0)[row].as_py()
-                q_ids, q, floors = _unpack(b, row, 1, index.dim)
-                bits = np.frombuffer(b.column(7)[row].as_py(), np.uint8).reshape(len(q_ids), -1)
-                here = cell // parts
-                own = np.flatnonzero((bits[:, here >> 3] >> (7 - (here & 7))) & 1)
-                if len(own):
-                    ids, x, _ = _unpack(b, row, 4, index.dim)
-                    yield search_block(index, cell, q_ids[own], q[own], floors[own], ids, x, k, epsilon)
-
-    return run
-
-
-def search_block(index: Index, cell: int, q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, epsilon: float) -> pa.RecordBatch:
-    packed, norm, match = index.code(x, cell)
-    c = index.centroids[cell]
-    side = ((x - c) @ c).astype(np.float32)
-    out_q, out_id, out_sim = [], [], []
-    for at in range(0, len(q), 256):
-        own = q[at : at + 256]
-        upper, slack = index.estimate(own, packed, norm, match, cell, epsilon)
-        upper += (own @ c).astype(np.float32)[:, None]
-        upper += side
-        floor = floors[at : at + 256].astype(np.float32)
-        if np.isfinite(floor).all():  # the k-th best so far is known: no need to look for it among the lower bounds
-            upper += slack
-            row, some = np.nonzero(upper >= (floor - np.float32(1e-5))[:, None])
-        else:
-            same = q_ids[at : at + 256, None] == ids[None, :]
-            lower = upper - slack
-            upper += slack
-            lower[same] = -np.inf
-            # vectors whose upper bound reaches the k-th best lower bound, and the floor, are reranked exactly
-            cut = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf, np.float32)
-            row, some = np.nonzero((upper >= (np.maximum(cut, floor) - np.float32(1e-5))[:, None]) & ~same)
-        # gathered pairs cost some ten times as much each as those of a whole product
-        exact = (own @ x.T)[row, some] if len(row) * 10 > len(own) * len(ids) else np.einsum("ij,ij->i", x[some], own[row])
-        good = np.flatnonzero(exact >= floors[at + row] - 1e-6)
-        good = good[q_ids[at + row[good]] != ids[some[good]]]
-        row, some, exact = row[good], some[good], exact[good]
-        order = np.lexsort((ids[some], -exact, row))
-        row, some, exact = row[order], some[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        best = place < k
-        out_q.append(q_ids[at + row[best]])
-        out_id.append(ids[some[best]])
-        out_sim.append(exact[best])
-    none = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *out_q])), pa.array(np.concatenate([none, *out_id])), pa.array(np.concatenate([none.astype(float), *out_sim]))], names=["id", "neighbour", "similarity"])
-
-
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, coverage: float = COVERAGE, epsilon: float = EPSILON, block: int = 4096) -> DataFrame:
-    """(vec_id, neighbour, rank, similarity): for every row its ``k`` nearest other rows by cosine.
-
-    All rows are queries.  Ties go to the lesser id.  Rows with a null id, or whose vector is null,
-    zero, not finite or of another length than most, are neither queries nor neighbours.  Rows that
-    repeat an id are one if their vectors are equal (else the greatest vector counts).  Other
-    columns aren't read; an empty table gives an empty result.
+    All rows are searched, and with ``every`` 1 all are queries.  Ties go to the lesser id.  Rows with a null
+    id, or whose vector is null, zero, not finite or of another length than most, are neither queries nor
+    neighbours.  Rows that repeat an id are one if their vectors are equal (else the greatest vector counts).
+    Ids must be integers; other columns, whatever their names, aren't read; an empty table, or one without
+    such an id, gives an empty result.  Codes of a group of cells with over ``slice_of`` vectors, such as one
+    with a cell of copies, are spread over several tasks.
     """
-    vectors = df.select(col(df, id_col).cast("long").alias("id"), col(df, vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    vectors = rows_of(df, id_col, vec=vec_col).select("id", F.col("vec").cast("array<double>").alias("vec")).where("id is not null and vec is not null")
     vectors = written(vectors.groupBy("id").agg(F.max("vec").alias("vec")), "vectors")
     index = build(vectors, k, coverage)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "vec_id long, neighbour long, rank int, similarity double")
-    rows = vectors.withColumn("floor", F.lit(float("-inf")))
-    data = written(rows.mapInArrow(_assign(index, block), BLOCKS).repartition("cell").mapInArrow(_gather(index.dim, block), BLOCKS), "cells")
-    search, result = _search(index, k, epsilon), "id long, neighbour long, similarity double"
-    right = data.select("cell", F.col("ids").alias("x_ids"), F.col("vecs").alias("x_vecs"), F.col("floors").alias("x_floors"))
+    # full blocks needn't come together with others of their cell, which may be a hot one
+    loose = F.when(F.col("n") * 2 > block, F.xxhash64("block")).otherwise(F.lit(0))
+    data = written(vectors.mapInArrow(_assign(index, block), BLOCKS).repartition("cell", loose).mapInArrow(_gather(index.dim, block), BLOCKS), "cells")
+    n, dim, cells = data.agg(F.sum("n")).first()[0] or 0, index.dim, len(index.centroids)
+    parts = groups(n, cells)
+    codes = data.select("cell", "block", "n", "codes", "scalars", (F.col("cell") % parts).cast("int").alias("part"))
+    slices = codes.groupBy("part").agg(F.ceil(F.sum("n") / slice_of).cast("int").alias("slices"))
+    codes = codes.join(slices, "part").withColumn("slice", F.pmod(F.xxhash64("block"), F.col("slices")).cast("int")).select("part", "slice", "cell", "block", "codes", "scalars")
+    queries = vectors.where(F.col("id") % every == 0)
     in_order = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    # first each query's own cell: its k-th best there is the floor for all other cells
-    home = written(data.join(right, "cell").mapInArrow(search, result).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k), "home")
-    floors = home.where(F.col("rank") == k).select("id", F.col("similarity").alias("floor"))
-    asking = vectors.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    parts = groups(data.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0, len(index.centroids))
-    asked = asking.mapInArrow(_ask(index, parts, block), ASKED)
-    pairs = asked.join(right.withColumn("part", (F.col("cell") % parts).cast("int")), "part").select("cell", "ids", "vecs", "floors", "x_ids", "x_vecs", "x_floors", "probes")
-    found = pairs.mapInArrow(_search_probed(index, parts, k, epsilon), result).unionAll(home.drop("rank"))
+
+    def searched(asking: DataFrame, most: int, by_estimate: int | None) -> DataFrame:
+        asked = asking.mapInArrow(_ask(index, parts, most, block), ASKED).join(slices, "part").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+        met = asked.join(codes, ["part", "slice"]).select("cell", "block", "codes", "scalars", "ids", "vecs", "floors", "probes")
+        pairs = met.mapInArrow(_scan(index, parts, by_estimate, epsilon), PAIRS)
+        held = data.select("block", F.col("ids").alias("x_ids"), F.col("vecs").alias("x_vecs"))
+        pairs = pairs.join(held, "block").select("ids", "vecs", "floors", "query", "place", "x_ids", "x_vecs")
+        return pairs.mapInArrow(_compare(dim, k), "id long, neighbour long, similarity double")
+
+    none = F.lit(float("-inf"))
+    first = searched(queries.withColumn("floor", none), 1 + (index.probes - 1) // FIRST, k)
+    first = written(first.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k), "first")
+    floors = first.where(F.col("rank") == k).select("id", F.col("similarity").alias("floor"))
+    asking = queries.join(floors, "id", "left").select("id", "vec", F.coalesce("floor", none).alias("floor"))
+    found = searched(asking, index.probes, None).unionAll(first.drop("rank")).groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
     return best.select(F.col("id").alias("vec_id"), "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
