@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, col
+from .common import bounded_sample, picked
 from .textvec import token_hashes
 
 #: Bound of the sample of pages on which the network is trained.
@@ -242,6 +242,7 @@ class Labeller:
         rng = np.random.default_rng(seed)
         self.ahead, self.back = Lstm(rng), Lstm(rng)
         self.w, self.b = rng.normal(0, 0.3, 2 * HIDDEN), np.zeros(1)
+        self.trained = False
 
     @staticmethod
     def pad(pages: list[np.ndarray], backwards: bool) -> np.ndarray:
@@ -251,16 +252,19 @@ class Labeller:
         return out
 
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Of content, for each block of each page."""
-        if not pages:
-            return []
+        """Of content, for each block of each page; 1 for all as long as nothing was learnt."""
+        if not self.trained:
+            return [np.ones(len(p)) for p in pages]
         ahead, _ = self.ahead.forward(self.pad(pages, False))
         back, _ = self.back.forward(self.pad(pages, True))
         return [_sigmoid(np.concatenate([ahead[: len(p), k], back[: len(p), k][::-1]], axis=1) @ self.w + self.b[0]) for k, p in enumerate(pages)]
 
     def train(self, pages: list[np.ndarray], marks: list[np.ndarray], epochs: int = 8, rate: float = 0.01, batch: int = 32, seed: int = 17) -> Labeller:
-        """Adam on the cross entropy of the blocks whose mark isn't negative."""
+        """Adam on the cross entropy of the blocks whose mark isn't negative; there must be both marks, else nothing is learnt."""
         usable = [k for k, m in enumerate(marks) if (m >= 0).any()]
+        if not any((marks[k] == 0).any() for k in usable) or not any((marks[k] == 1).any() for k in usable):
+            return self
+        self.trained = True
         params = [*self.ahead.p, *self.back.p, self.w, self.b]
         m, v, step, rng = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, np.random.default_rng(seed)
         for _ in range(epochs):
@@ -288,8 +292,8 @@ class Labeller:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = MOST_PAGES) -> Labeller:
-    """Trains on the ``most_pages`` pages whose ids have the least hashes; without landmarks in any, the network stays as it began."""
-    rows = pages.select(col(pages, id_col).alias("id"), col(pages, html_col).alias("html")).where("html is not null")
+    """Trains on the ``most_pages`` pages whose ids have the least hashes; without landmarks of both kinds in them, every block counts as content."""
+    rows = picked(pages, id=id_col, html=html_col).where("html is not null")
     chosen = bounded_sample(rows.select("id").distinct(), "id", most_pages)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +307,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
             cols = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["x", "y"])
 
-    picked = rows.join(F.broadcast(chosen), rows["id"].eqNullSafe(chosen["id"])).select("html")  # at most most_pages ids
-    found = picked.mapInArrow(run, "x binary, y binary").orderBy("x", "y").toArrow()
+    own = rows.join(F.broadcast(chosen), rows["id"].eqNullSafe(chosen["id"])).select("html")  # at most most_pages ids
+    found = own.mapInArrow(run, "x binary, y binary").orderBy("x", "y").toArrow()
     x = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found.column("x").to_pylist()]
     y = [np.frombuffer(b, np.int8).astype(float) for b in found.column("y").to_pylist()]
     return Labeller().train(x, y) if x else Labeller()
@@ -331,7 +335,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
 
     ``text`` has the content blocks, one a line; ``labels`` the probability of every block in order.  A null
     page has null text, an empty one or one without text has "" and no blocks; a null id stays null; rows that
-    are repeated are extracted each; whole pages are read, however long; other columns aren't read.
+    are repeated are extracted each; whole pages are read, however long; an empty table gives an empty result;
+    other columns, whatever their names, aren't read.  Where the pages trained on have no landmarks, or of one
+    kind only, every block is content.
     """
     model = model or train(pages, id_col, html_col, most_pages)
 
@@ -350,5 +356,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
                     labels.append(np.round(p, 4).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(title, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int32()), pa.array(kept, pa.int32()), pa.array(labels, pa.list_(pa.float32()))], names=["page_id", "title", "text", "n_blocks", "n_content", "labels"])
 
-    rows = pages.select(col(pages, id_col).alias("page_id"), col(pages, html_col).alias("html"))
+    rows = picked(pages, page_id=id_col, html=html_col)
     return rows.mapInArrow(run, rows.select("page_id").schema.add("title", T.StringType()).add("text", T.StringType()).add("n_blocks", T.IntegerType()).add("n_content", T.IntegerType()).add("labels", T.ArrayType(T.FloatType())))

@@ -119,3 +119,18 @@ def test_the_whole_path_and_every_class_count():
     found, _ = hx.blocks("<body><div class='a b c d e f footer'>text</div></body>")
     assert found[0].path == ("body", "div .a .b .c .d .e .f .footer")
     assert hx.vectors([hx.Block(("div .footer",), "text", 0)])[0][hx._slot(".footer")] > 0 and hx.vectors(found)[0][hx._slot(".footer")] >= 1
+
+
+def test_without_landmarks_every_block_is_content(spark):
+    """Nothing can be learnt then, and a network as it began would drop blocks at random."""
+    pages = [(k, "<html><body>" + "".join(f"<p>Paragraph {k} {j} of plain text.</p>" for j in range(5)) + "</body></html>") for k in range(6)]
+    got = hx.extract(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert all(r.n_blocks == r.n_content == 5 and list(r.labels) == [1.0] * 5 and r.text.count("\n") == 4 for r in got)
+    one_kind = [(k, f"<article><p>Only content {k}.</p></article>") for k in range(4)]
+    assert all(r.n_content == 1 for r in hx.extract(spark.createDataFrame(one_kind, "page_id long, html string")).collect())
+    assert hx.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_names_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(1, "<p>one</p>", "two", "three")], "page_id long, html string, HTML string, text string")
+    assert hx.extract(df).first().text == "one"
