@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import rows_of
 from .textvec import raw
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -174,16 +174,20 @@ def _encode(rank_file: str, check: bool):
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str = RANK_FILE, check: bool = True) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) for every row; ``round_trip``: decoding gave the text's bytes again.
 
-    A null text has nulls, an empty one no ids; a null id stays null, repeated rows are encoded each.
-    Bytes that aren't UTF-8 are encoded as U+FFFD, and ``round_trip`` is then false.  Without
-    ``check`` the ids aren't decoded and that column is left out.  Other columns aren't read.
+    A null text has nulls, an empty one no ids; a text of any length is encoded whole; a null id stays null,
+    repeated rows are encoded each; an empty table gives an empty result.  Bytes that aren't UTF-8 are
+    encoded as U+FFFD, and ``round_trip`` is then false.  Without ``check`` the ids aren't decoded and that
+    column is left out.  Ids must be integers; other columns, whatever their names, aren't read.
     """
-    rows = df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, text_col).alias("text"))
+    rows = rows_of(df, id_col, text=text_col).withColumnRenamed("id", "doc_id")
     return rows.mapInArrow(_encode(rank_file, check), "doc_id long, n_tokens long, token_ids array<int>" + ", round_trip boolean" * check)
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", rank_file: str = RANK_FILE) -> DataFrame:
-    """(doc_id, bytes) of every row's ids; null ids give null, none give no bytes; an id that the ranks don't have gives no bytes."""
+    """(doc_id, bytes) of every row's ids; null ids give null, none give no bytes; an id that the ranks don't have gives no bytes.
+
+    A null doc_id stays null, repeated rows are decoded each, an empty table gives an empty result; other columns aren't read.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(rank_file)
@@ -200,7 +204,7 @@ def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids"
 
     import pyarrow.compute  # noqa: F401
 
-    return df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return rows_of(df, id_col, ids=ids_col).select("id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
 
 
 def bpe_text(df: DataFrame, **columns) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import picked, rows_of
 from .bpe import spread
 
 BLOCK, STRIDE, LIMIT = 65536, 512, 20
@@ -91,9 +91,18 @@ class Codebook:
         return int(self.lengths[-1]) if len(self.lengths) else 0
 
     def encode(self, ids: np.ndarray, blocks: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Packs ``ids``, cut into blocks at the offsets ``blocks``: bytes, each block's first byte, its bits, the bit offset of each id in its block."""
+        """Packs ``ids``, cut into blocks at the offsets ``blocks``: bytes, each block's first byte, its bits, the bit offset of each id in its block.
+
+        An id that isn't in the code is a ValueError.
+        """
         by_id = np.argsort(self.ids)
-        at = by_id[np.searchsorted(self.ids[by_id], ids)] if len(ids) else np.zeros(0, np.int64)
+        if len(ids):
+            at = by_id[np.minimum(np.searchsorted(self.ids, ids, sorter=by_id), len(by_id) - 1)] if len(by_id) else np.zeros(len(ids), np.int64)
+            unknown = self.ids[at] != ids if len(by_id) else np.ones(len(ids), bool)
+            if unknown.any():
+                raise ValueError(f"id {int(ids[np.argmax(unknown)])} isn't in the code: it must come from counts of all ids to be packed")
+        else:
+            at = np.zeros(0, np.int64)
         size, code = self.lengths[at], self.codes[at]
         total = np.append(0, np.cumsum(size))
         bits = np.diff(total[blocks])
@@ -156,7 +165,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def codebook(df: DataFrame, ids_col: str = "token_ids", limit: int = LIMIT) -> Codebook:
     """The code from the counts of all ids of the column; null lists and null ids don't count.  As large as the vocabulary."""
-    each = df.select(col(df, ids_col).alias("ids")).mapInArrow(_counts, "id long, n long")
+    each = picked(df, ids=ids_col).mapInArrow(_counts, "id long, n long")
     found = each.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
     return Codebook.of(found.column("id").to_numpy(), found.column("n").to_numpy(), limit)
 
@@ -176,14 +185,16 @@ def huffman_encode(df: DataFrame, book: Codebook, id_col: str = "doc_id", ids_co
     ``checkpoints`` has the bit offset of each ``stride``-th id of the block; ``decoded``: the block,
     decoded from its checkpoints, gave its ids again (left out without ``check``).  Empty and null
     lists have one block of no ids, with null ``data`` for null; null ids within a list are left
-    out; a null doc_id stays null and repeated rows are packed each.  Other columns aren't read.
+    out; a list of any length is packed whole, in as many blocks as it needs; a null doc_id stays null and
+    repeated rows are packed each; an empty table gives an empty result.  An id that isn't in ``book`` fails the
+    query with a ValueError that names it.  Doc ids must be integers; other columns aren't read.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from _pack(b, book, block, stride, check)
 
-    rows = df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, ids_col).alias("ids"))
+    rows = rows_of(df, id_col, ids=ids_col)
     return rows.mapInArrow(run, "doc_id long, block int, n_tokens long, n_bits long, checkpoints array<long>, data binary" + ", decoded boolean" * check)
 
 

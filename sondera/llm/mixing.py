@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import by_place, place, whole
 
 #: Targets are the natural shares to this power, made to add up to one: large sources give way to small ones.
 ALPHA, SWEEPS = 0.9, 25
@@ -84,13 +84,13 @@ def scale(weights: np.ndarray, mass: np.ndarray, budget: float | None) -> float:
     return float(1 / w[-1])
 
 
-def weighted(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None, targets: dict[str, dict] | None, alpha: float, sweeps: int, budget_share: float | None) -> tuple[DataFrame, str, str, str]:
-    """``df`` with columns for tokens, weight and probability, and their names."""
-    text = col(df, text_col)
-    names = [fresh(df, f"margin_{m}") for m in MARGINS]
-    n, wt, pr = fresh(df, "mix_tokens"), fresh(df, "mix_weight"), fresh(df, "mix_probability")
-    levels = [F.coalesce(x.cast("string"), F.lit("")) for x in (col(df, source_col), col(df, lang_col), col(df, topic_col) if topic_col else topic(text))]
-    marked = df.withColumns({**dict(zip(names, levels, strict=True)), n: tokens(text)})
+def weighted(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None, targets: dict[str, dict] | None, alpha: float, sweeps: int, budget_share: float | None) -> DataFrame:
+    """``df`` with its columns called c0, c1, ... and columns id, tokens, weight and probability."""
+    whole(df, id_col)
+    at = {name: F.col(f"c{place(df, name)}") for name in (id_col, text_col, source_col, lang_col, topic_col) if name}
+    names, n = [f"margin_{m}" for m in MARGINS], "tokens"
+    levels = [F.coalesce(x.cast("string"), F.lit("")) for x in (at[source_col], at[lang_col], at[topic_col] if topic_col else topic(at[text_col]))]
+    marked = by_place(df).withColumns({**dict(zip(names, levels, strict=True)), n: tokens(at[text_col]), "id": at[id_col].cast("long")})
     # as many rows as combinations that occur, whatever the number of documents
     cells = marked.groupBy(*names).agg(F.sum(n).alias(n)).orderBy(*names).toArrow()
     mass = cells.column(n).to_numpy().astype(float)
@@ -114,7 +114,7 @@ def weighted(df: DataFrame, id_col: str, text_col: str, source_col: str, lang_co
         small = df.sparkSession.createDataFrame(pa.table({name: pa.array(seen, pa.string()), f"{name}_factor": pa.array(f, pa.float64())}))
         marked = marked.join(small, name)  # Spark broadcasts it if it is small enough
     product = F.col(f"{names[0]}_factor") * F.col(f"{names[1]}_factor") * F.col(f"{names[2]}_factor")
-    return marked.withColumn(wt, product).withColumn(pr, F.least(F.lit(1.0), F.lit(c) * F.col(wt))), n, wt, pr
+    return marked.withColumn("weight", product).withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("weight")))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, budget_share: float | None = None) -> DataFrame:
@@ -124,22 +124,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     leaves out gets the natural shares to the power ``alpha``.  A null source, language or topic
     is the level "" of its margin; a document without tokens has its levels' weight like any other;
     a null id never is in the sample, rows that repeat an id are in it or out of it together;
-    of an empty table the sample is empty.
+    the tokens of a text of any length all count; of an empty table the sample is empty.  Ids must be
+    integers; other columns, whatever their names, aren't read.
     """
-    out, n, wt, pr = weighted(df, id_col, text_col, source_col, lang_col, topic_col, targets, alpha, sweeps, budget_share)
-    key = out[col_name(id_col)].cast("long")
-    chosen = out.where(uniform(key) < F.col(pr))
-    return chosen.select(key.alias("doc_id"), F.col(n).alias("tokens"), F.round(wt, 6).alias("weight"), F.round(pr, 6).alias("probability"))
-
-
-def col_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    out = weighted(df, id_col, text_col, source_col, lang_col, topic_col, targets, alpha, sweeps, budget_share)
+    chosen = out.where(uniform(F.col("id")) < F.col("probability"))
+    return chosen.select(F.col("id").alias("doc_id"), "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
 def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict] | None = None, alpha: float = ALPHA, sweeps: int = SWEEPS, budget_share: float | None = None) -> DataFrame:
-    """The sample of ``mix`` as rows of ``df``, with its columns."""
-    out, _, _, pr = weighted(df, id_col, text_col, source_col, lang_col, topic_col, targets, alpha, sweeps, budget_share)
-    return out.where(uniform(out[col_name(id_col)].cast("long")) < F.col(pr)).select(*[F.col(col_name(c)) for c in df.columns])
+    """The sample of ``mix`` as rows of ``df``, with all its columns; what holds there holds here."""
+    out = weighted(df, id_col, text_col, source_col, lang_col, topic_col, targets, alpha, sweeps, budget_share)
+    return out.where(uniform(F.col("id")) < F.col("probability")).select(*[f"c{k}" for k in range(len(df.columns))]).toDF(*df.columns)
 
 
 def sql(alpha: float = ALPHA, sweeps: int = SWEEPS) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col
+from .common import bounded_sample, picked, rows_of
 from .textvec import RUNS, mix, token_hashes
 
 BITS, DIM, NONZERO, REACH, ROWS = 14, 64, 4, 2, 256
@@ -109,7 +109,7 @@ class WordVectors:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> WordVectors:
     """Random-indexing vectors from all texts; a null text has no words."""
-    text = docs.select(col(docs, text_col).alias("text")).where("text is not null")
+    text = picked(docs, text=text_col).where("text is not null")
     schema = "part int, width int, data binary"
     summed = text.mapInArrow(_partial, schema).repartition("part").mapInArrow(_total, schema)
     table = np.zeros((BUCKETS, DIM + 1), np.int64)
@@ -188,17 +188,17 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate:
 
 def train(docs: DataFrame, labels: DataFrame, words: WordVectors, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> Network:
     """The network from a sample of ``most_labelled`` labelled documents, by hash of the id; a null id or label isn't used."""
-    marked = labels.select(col(labels, id_col).cast("long").alias("id"), col(labels, label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    marked = rows_of(labels, id_col, y=label_col).withColumn("y", F.col("y").cast("int")).where("id is not null and y is not null")
     chosen = bounded_sample(marked.groupBy("id").agg(F.max("y").alias("y")), "id", most_labelled)
-    rows = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).alias("text")).where("id is not null and text is not null")
+    rows = rows_of(docs, id_col, text=text_col).where("id is not null and text is not null")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pooled = words.pool(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in pooled], pa.binary())], names=["id", "y", "x"])
 
-    picked = rows.join(F.broadcast(chosen), "id").select("id", "y", "text")  # at most most_labelled ids
-    found = picked.mapInArrow(run, "id long, y int, x binary").orderBy("id", "x").toArrow()
+    own = rows.join(F.broadcast(chosen), "id").select("id", "y", "text")  # at most most_labelled ids
+    found = own.mapInArrow(run, "id long, y int, x binary").orderBy("id", "x").toArrow()
     x = np.array([np.frombuffer(b, np.float32) for b in found.column("x").to_pylist()], np.float64).reshape(-1, 2 * DIM)
     return fit(x, found.column("y").to_numpy().astype(float))
 
@@ -206,8 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, words: WordVectors, id_col: str =
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **training) -> DataFrame:
     """(doc_id, quality, is_good) for every row: the calibrated probability of good quality.
 
-    A null text is read as an empty one, which has the pooled vector 0; rows that are repeated are
-    scored alike; a null id stays null; other columns aren't read.
+    Whole texts are read, however long.  A null text is read as an empty one, which has the pooled vector
+    0; rows that are repeated are scored alike; a null id stays null; an empty table gives an empty result;
+    where labels are of one kind or fewer than ten, all texts get their share.  Ids must be integers; other
+    columns, whatever their names, aren't read.
     """
     words = word_vectors(docs, text_col)
     net = train(docs, labels, words, id_col, text_col, **training)
@@ -218,6 +220,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 part = b.slice(at, 2048)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(net.probability(words.pool(part.column(1))), 6))], names=["doc_id", "quality"])
 
-    scored = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
-    out = scored.mapInArrow(run, scored.select("doc_id").schema.add("quality", "double"))
+    out = rows_of(docs, id_col, text=text_col).mapInArrow(run, "doc_id long, quality double")
     return out.select("doc_id", "quality", (F.col("quality") >= threshold).alias("is_good"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import picked, rows_of
 
 MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r\n")
@@ -267,7 +267,7 @@ def salvage_archives(df: DataFrame, name_col: str = "path", content_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(batches, lambda b, k: b.column(1)[k].as_py())
 
-    return df.select(col(df, name_col).cast("string").alias("archive"), col(df, content_col).alias("content")).mapInArrow(run, ROWS)
+    return picked(df, archive=name_col, content=content_col).withColumn("archive", F.col("archive").cast("string")).mapInArrow(run, ROWS)
 
 
 def salvage_files(df: DataFrame, path_col: str = "path") -> DataFrame:
@@ -295,7 +295,7 @@ def salvage_files(df: DataFrame, path_col: str = "path") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(batches, opened)
 
-    return df.select(col(df, path_col).cast("string").alias("archive")).mapInArrow(run, ROWS)
+    return picked(df, archive=path_col).select(F.col("archive").cast("string").alias("archive")).mapInArrow(run, ROWS)
 
 
 #: How the archives of ``page_archives`` are damaged, by the first byte of the MD5 of a page's URL.
@@ -331,11 +331,16 @@ def page_archives(pages: DataFrame, each: int = 64) -> DataFrame:
                 body = b"".join(page_record(r["page_id"], r["url"], r["html"]) for r in rows)
                 yield pa.RecordBatch.from_arrays([pa.array([f"pages-{rows[0]['page_id']}.warc.gz"]), pa.array([body], pa.binary())], names=["path", "content"])
 
-    return pages.select(col(pages, "page_id").cast("long").alias("page_id"), col(pages, "url").alias("url"), col(pages, "html").alias("html")).mapInArrow(run, "path string, content binary")
+    return rows_of(pages, "page_id", url="url", html="html").withColumnRenamed("id", "page_id").mapInArrow(run, "path string, content binary")
 
 
 def salvaged_pages(pages: DataFrame) -> DataFrame:
-    """Pages through damaged archives and back: (archive, kind, begin, length, reason, page_id, url, html)."""
+    """Pages through damaged archives and back: (archive, kind, begin, length, reason, page_id, url, html).
+
+    Each page that isn't in a gap comes back whole, however long; one with a null or empty URL or text has
+    them empty, one with a null id a null id; rows that are repeated come back each; an empty table gives
+    an empty result.  Ids must be integers; other columns, whatever their names, aren't read.
+    """
     rows = salvage_archives(page_archives(pages))
     page = F.regexp_extract("record_id", r"^<urn:page:(\d+)>$", 1)
     return rows.select("archive", "kind", "begin", "length", "reason", F.when(page != "", page.cast("long")).alias("page_id"), F.col("uri").alias("url"), F.decode("block", "UTF-8").alias("html"))

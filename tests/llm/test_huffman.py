@@ -112,3 +112,16 @@ def test_large_ids_and_pieces():
     lists = pa.array([[0, 5_000_000, 2**31 - 1] * 5, [], [0]], pa.list_(pa.int64()))
     parts = list(h._pack(pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), lists], names=["a", "b"]), book, 4, 2, True, at_once=5))
     assert sum(p.num_rows for p in parts) == 6 and all(x.as_py() for p in parts for x in p.column("decoded"))
+
+
+def test_an_id_outside_the_code_is_an_error(spark):
+    book = h.Codebook.of(np.array([1, 5, 9]), np.array([3, 2, 1]))
+    for ids in ([1, 7], [1, 20], [0]):
+        with pytest.raises(ValueError, match="isn't in the code"):
+            book.encode(np.array(ids), np.array([0, len(ids)]))
+    with pytest.raises(ValueError, match="isn't in the code"):
+        h.Codebook.of(np.zeros(0, int), np.zeros(0, int)).encode(np.array([1]), np.array([0, 1]))
+    with pytest.raises(Exception, match="id 7 isn't in the code"):
+        h.huffman_encode(rows(spark, [[1, 7]]), book).collect()
+    with pytest.raises(TypeError):
+        h.huffman_encode(spark.createDataFrame([("a", [1])], "doc_id string, token_ids array<int>"), book)

@@ -66,9 +66,9 @@ def test_margins_meet_their_targets(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
     targets = {"lang": {"en": 0.5, "de": 0.25, "fr": 0.25}, "source": {f"s{k}": 1 / 6 for k in range(6)}}
-    out, n, wt, _ = mx.weighted(df, "doc_id", "text", "source", "lang", None, targets, 1.0, 60, None)
-    seen = out.select("lang", "source", n, wt).toPandas()
-    mass = seen[n] * seen[wt]
+    out = mx.weighted(df, "doc_id", "text", "source", "lang", None, targets, 1.0, 60, None)
+    seen = out.selectExpr("c2 AS lang", "c3 AS source", "tokens", "weight").toPandas()
+    mass = seen.tokens * seen.weight
     for level, share in targets["lang"].items():
         assert mass[seen.lang == level].sum() / mass.sum() == pytest.approx(share, abs=1e-3)
     for level, share in targets["source"].items():
@@ -83,9 +83,8 @@ def test_budget(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     total = sum(t.count(" ") + 1 for _, t, *_ in rows)
     for share in (0.1, 0.5, 0.9):
-        out, n, _, pr = mx.weighted(df, "doc_id", "text", "source", "lang", None, None, mx.ALPHA, mx.SWEEPS, share)
-        seen = out.select(n, pr).toPandas()
-        assert (seen[n] * seen[pr]).sum() == pytest.approx(share * total, rel=1e-6) and seen[pr].max() <= 1
+        seen = mx.weighted(df, "doc_id", "text", "source", "lang", None, None, mx.ALPHA, mx.SWEEPS, share).select("tokens", "probability").toPandas()
+        assert (seen.tokens * seen.probability).sum() == pytest.approx(share * total, rel=1e-6) and seen.probability.max() <= 1
         assert mx.mix(df, budget_share=share).toPandas().tokens.sum() == pytest.approx(share * total, rel=0.25)
 
 
