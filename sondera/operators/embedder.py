@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Callable
 from typing import Protocol
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.tokenizer import SEQUENCE, Vocabulary
 
 class Embedder(Protocol):
     name: str
@@ -84,22 +86,22 @@ class HashingEmbedder:
 class ModelEmbedder:
     """Plug-in for a real model: ``load()`` gives a function from texts to a matrix, once in each Python worker.
 
-    Rows are made unit vectors here; an empty text, or a row of zeros or NaN, has no vector.
+    Rows are made unit vectors here; an empty text, or a row of zeros or NaN, has no vector.  A text that
+    occurs more than once in a batch goes to the model once.
     """
 
     def __init__(self, name: str, dim: int, threshold: float, strict_threshold: float, load: Callable[[], Callable[[list[str]], np.ndarray]]):
         self.name, self.dim, self.threshold, self.strict_threshold, self.load = name, dim, threshold, strict_threshold, load
 
     def _run(self, model: Callable[[list[str]], np.ndarray], texts: list[str | None]) -> list[list[float] | None]:
-        some = [k for k, t in enumerate(texts) if t]
-        out: list[list[float] | None] = [None] * len(texts)
+        some = list(dict.fromkeys(t for t in texts if t))
+        vectors: dict[str | None, list[float]] = {}
         if some:
-            x = np.asarray(model([texts[k] for k in some]), float)
-            norm = np.linalg.norm(x, axis=1)
-            for k, row, n in zip(some, x, norm, strict=True):
+            x = np.asarray(model(some), float)
+            for t, row, n in zip(some, x, np.linalg.norm(x, axis=1), strict=True):
                 if np.isfinite(n) and n > 0:
-                    out[k] = (row / n).astype(np.float32).tolist()
-        return out
+                    vectors[t] = (row / n).astype(np.float32).tolist()
+        return [vectors.get(t) for t in texts]
 
     def embed(self, text: Column) -> Column:
         cached: list = []
@@ -114,3 +116,34 @@ class ModelEmbedder:
 
     def embed_one(self, text: str) -> list[float] | None:
         return self._run(self.load(), [text])[0]
+
+
+class TokenEmbedder(ModelEmbedder):
+    """From text to vector through a transformer: WordPiece ids, cut to ``length`` and padded, the model, the mean over real tokens.
+
+    ``load()`` gives, once in each Python worker, a function from ids and mask (texts x length) to one
+    vector for each token (texts x length x dim).  ``at_once`` texts are run together.
+    """
+
+    def __init__(self, name: str, dim: int, threshold: float, strict_threshold: float, vocabulary: Vocabulary, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], length: int = SEQUENCE, at_once: int = 64):
+        self.vocabulary = vocabulary
+
+        def loaded() -> Callable[[list[str]], np.ndarray]:
+            model = load()
+
+            def pooled(texts: list[str]) -> np.ndarray:
+                ids, mask = np.zeros((len(texts), length), np.int64), np.zeros((len(texts), length), np.int64)
+                for k, t in enumerate(texts):
+                    own = vocabulary.encode(t.encode())[:length]
+                    ids[k, : len(own)], mask[k, : len(own)] = own, 1
+                tokens = np.asarray(model(ids, mask), float)
+                return (tokens * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1, keepdims=True)
+
+            return lambda texts: np.concatenate([pooled(texts[at : at + at_once]) for at in range(0, len(texts), at_once)])
+
+        super().__init__(name, dim, threshold, strict_threshold, loaded)
+
+    def embed_one(self, text: str) -> list[float] | None:
+        if text and not (_WORD.fullmatch(text[0]) and _WORD.fullmatch(text[-1])):
+            logging.getLogger(__name__).warning("a text with punctuation at its ends is embedded: %r", text)
+        return super().embed_one(text)

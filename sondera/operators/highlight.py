@@ -13,7 +13,7 @@ from .embedder import Embedder
 def highlight_rows(docs: DataFrame, query: Column, embedder: Embedder, key: str, text: str, n: int) -> DataFrame:
     """(key, highlights) for each row: the first ``n`` words, in order, whose cosine with ``query`` is above the strict threshold.
 
-    The query isn't stripped, and words of one letter count.  Each word is embedded by itself, once for each distinct word of a row's batch.
+    The query isn't stripped, and words of one letter count.  Each word is embedded by itself, by a model once for each distinct word of a batch.
     """
     tiles = docs.select(F.col(key), F.explode(words(F.col(text))).alias("w")).select(key, "w.start_i", "w.end_i", "w.contents")
     near = tiles.where(cosine_similarity(embedder.embed(F.col("contents")), query) > embedder.strict_threshold)

@@ -9,28 +9,35 @@ from pyspark.sql.window import Window as W
 from ..sources.shared import written
 
 
-def numbered(df: DataFrame, order: list[str], first: int, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], first: int, name: str, used: list[DataFrame] | None = None) -> DataFrame:
     """``df`` with successive numbers from ``first`` on, in that order, without bringing all rows into one partition.
 
     Rows are range-partitioned by the order; a number is the row's place in its partition and the
-    sizes of the partitions before, which are the only thing that is gathered.
+    sizes of the partitions before, which are the only thing that is gathered.  Who is where is settled by a
+    table in the shared folder, which is added to ``used`` for the caller to discard.
     """
-    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")  # settles who is where
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    if used is not None:
+        used.append(ranged)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(before, "_part")
     return placed.withColumn(name, F.lit(first - 1).cast("long") + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
-def new_ids(keys: DataFrame, key: str, first: int, name: str) -> DataFrame:
+def new_ids(keys: DataFrame, key: str, first: int, name: str, used: list[DataFrame] | None = None) -> DataFrame:
     """Distinct keys with ids from ``first`` on, by the order of the keys."""
-    return numbered(keys.select(key).distinct(), [key], first, name)
+    return numbered(keys.select(key).distinct(), [key], first, name, used)
+
+
+def unknown(notes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The paths that the manifest hasn't got."""
+    return paths.select("path").distinct().join(notes, "path", "left_anti")
 
 
 def get_or_create_ids(notes: DataFrame, paths: DataFrame, next_id: int) -> DataFrame:
     """The manifest with the paths that it hadn't: known paths keep their ids, new ones get the next, by the order of their names."""
-    fresh = paths.select("path").distinct().join(notes, "path", "left_anti")
-    return notes.unionByName(new_ids(fresh, "path", next_id, "note_id").select("note_id", "path"))
+    return notes.unionByName(new_ids(unknown(notes, paths), "path", next_id, "note_id").select("note_id", "path"))
 
 
 def remove_by_note(vectors: DataFrame, note_ids: DataFrame) -> DataFrame:

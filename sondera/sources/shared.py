@@ -23,4 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table there: its rows, and any numbers drawn for them, are settled and outlive executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing reads any more."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

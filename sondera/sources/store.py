@@ -1,16 +1,22 @@
 """A versioned store of notes and vectors in Parquet.
 
 ``meta.json`` names the parts of the current snapshot and is replaced atomically, so readers see one
-snapshot or the next.  Changes cost what they change: vectors are only ever added, as a new part, and
-a removed or replaced note is a row (note_id, gen) that hides that note's vectors of earlier
-generations; ``compact`` writes the live vectors anew.  The manifest of notes is written whole.  There
-is one writer at a time; readers keep the snapshot that they opened.
+snapshot or the next.  Changes cost what they change: notes and vectors are only ever added, as a new
+part; a removed, replaced or renamed note is a row (note_id, gen) that hides that note's rows of
+earlier generations.  ``compact`` writes the live rows anew.
+
+There is one writer at a time: a change holds the file ``lock``, and is refused if another writer has it
+or has changed the store since it was opened.  Readers keep the snapshot that they opened.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +28,10 @@ from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.embedder import Embedder
 from ..operators.highlight import highlight_rows
+from .shared import discard
 
-FORMAT, MOST_PARTS = 1, 32
-NOTES = T.StructType([T.StructField("note_id", T.LongType()), T.StructField("path", T.StringType())])
+FORMAT, MOST_PARTS = 2, 32
+NOTES = T.StructType([T.StructField("note_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("gen", T.LongType())])
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("note_id", T.LongType()), T.StructField("start_i", T.LongType()), T.StructField("end_i", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("gen", T.LongType())])
 HIDDEN = T.StructType([T.StructField("note_id", T.LongType()), T.StructField("gen", T.LongType())])
 
@@ -65,6 +72,10 @@ class MultipleRemove(StoreError):
     pass
 
 
+class ConcurrentWrite(StoreError):
+    """Another writer is at work, or has been since this store was opened: open it again."""
+
+
 class _Files:
     """Small files on whatever file system Spark reaches."""
 
@@ -102,10 +113,54 @@ class _Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def claim(self, name: str) -> bool:
+        """Creates the file if it isn't there, in one step; whether it did."""
+        if self.fs.getUri().getScheme() == "file":  # that of Hadoop isn't one step there
+            path = self._path(name).toUri().getPath()
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            try:
+                os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            self.fs.create(self._path(name), False).close()
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
+        return True
+
+
+def change(run: Callable) -> Callable:
+    """A method that changes the store, alone: threads of one writer wait for each other, another writer is refused."""
+
+    @functools.wraps(run)
+    def alone(self: VectorStore, *args, **kwargs):
+        with self._alone:
+            if self._busy:  # part of another change
+                return run(self, *args, **kwargs)
+            if not self._files.claim("lock"):
+                raise ConcurrentWrite("another writer has the lock; if it died, unlock()")
+            self._busy = True
+            try:
+                now = json.loads(self._files.read("meta.json"))["snapshot"] if self._files.exists("meta.json") else 0
+                if now != self._meta["snapshot"]:
+                    raise ConcurrentWrite(f"the store is at snapshot {now}, this one was opened at {self._meta['snapshot']}")
+                return run(self, *args, **kwargs)
+            finally:
+                self._busy = False
+                self._files.delete("lock")
+
+    return alone
+
 
 class VectorStore:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder, files: _Files, meta: dict):
         self.spark, self.path, self.embedder, self._files, self._meta = spark, path.rstrip("/"), embedder, files, meta
+        self._alone, self._busy = threading.RLock(), False
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, embedder: Embedder) -> VectorStore:
@@ -118,9 +173,13 @@ class VectorStore:
             if wrong:
                 raise IncompatibleStore(", ".join(f"{k} is {meta.get(k)!r}, not {want[k]!r}" for k in wrong))
         else:
-            meta = want | {"snapshot": 0, "next_note_id": 1, "next_vec_id": 0, "notes": None, "vectors": [], "hidden": [], "epochs": {}}
+            meta = want | {"snapshot": 0, "next_note_id": 1, "next_vec_id": 0, "notes": [], "gone": [], "vectors": [], "hidden": [], "epochs": {}}
         return cls(spark, path, embedder, files, meta)
 
+    def unlock(self) -> None:
+        """Takes away the lock of a writer that died."""
+        self._files.delete("lock")
+
     # tables of the snapshot
 
     def _read(self, schema: T.StructType, names: list[str]) -> DataFrame:
@@ -128,18 +187,18 @@ class VectorStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def notes(self) -> DataFrame:
-        return self._read(NOTES, [self._meta["notes"]] if self._meta["notes"] else [])
-
-    def _live(self) -> DataFrame:
-        rows = self._read(VECTORS, self._meta["vectors"])
-        if not self._meta["hidden"]:
+    def _live(self, schema: T.StructType, parts: str, hidden: str) -> DataFrame:
+        rows = self._read(schema, self._meta[parts])
+        if not self._meta[hidden]:
             return rows
-        hidden = self._read(HIDDEN, self._meta["hidden"]).groupBy("note_id").agg(F.max("gen").alias("until"))
-        return rows.join(hidden, "note_id", "left").where("until is null or gen >= until").select(*VECTORS.names)
+        until = self._read(HIDDEN, self._meta[hidden]).groupBy("note_id").agg(F.max("gen").alias("until"))
+        return rows.join(until, "note_id", "left").where("until is null or gen >= until").select(*schema.names)
+
+    def notes(self) -> DataFrame:
+        return self._live(NOTES, "notes", "gone").drop("gen")
 
     def vectors(self) -> DataFrame:
-        return self._live().drop("gen")
+        return self._live(VECTORS, "vectors", "hidden").where("vec is not null").drop("gen")
 
     def count(self) -> int:
         return self.notes().count()
@@ -156,6 +215,9 @@ class VectorStore:
         row = self.vectors().where(F.col("vec_id") == vec_id).first()
         return row and row["vec"]
 
+    def occupied(self, vec_id: int) -> bool:
+        return not self.vectors().where(F.col("vec_id") == vec_id).isEmpty()
+
     def vecs_for_note(self, note_id: int) -> DataFrame:
         return m.vecs_for_note(self.vectors(), note_id)
 
@@ -164,55 +226,64 @@ class VectorStore:
 
     # changes
 
-    def _commit(self, notes: DataFrame | None = None, added: DataFrame | None = None, hidden: DataFrame | None = None, **meta) -> None:
-        gen = self._meta["snapshot"] + 1
-        new = self._meta | {"snapshot": gen} | meta
-        tag = f"snap-{gen:08d}-{uuid.uuid4().hex[:8]}"
+    def _tag(self) -> str:
+        return f"snap-{self._meta['snapshot'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+
+    def _write(self, rows: DataFrame, schema: T.StructType, name: str) -> str:
+        rows.withColumn("gen", F.lit(self._meta["snapshot"] + 1).cast("long")).select(*schema.names).write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _commit(self, tag: str, notes: DataFrame | str | None = None, gone: DataFrame | None = None, vectors: DataFrame | str | None = None, hidden: DataFrame | None = None, **meta) -> None:
+        """The next snapshot: with the given rows, or parts written already, of each table."""
+        new = self._meta | {"snapshot": self._meta["snapshot"] + 1} | meta
+        for kind, schema, rows in (("notes", NOTES, notes), ("gone", HIDDEN, gone), ("vectors", VECTORS, vectors), ("hidden", HIDDEN, hidden)):
+            if rows is not None:
+                new[kind] = [*new[kind], rows if isinstance(rows, str) else self._write(rows, schema, f"{tag}/{kind}")]
         if notes is not None:
-            notes.select(*NOTES.names).write.parquet(f"{self.path}/{tag}/notes")
-            new["notes"] = f"{tag}/notes"
-            top = self._read(NOTES, [new["notes"]]).agg(F.max("note_id")).first()[0]
+            top = self._read(NOTES, new["notes"][-1:]).agg(F.max("note_id")).first()[0]
             new["next_note_id"] = max(new["next_note_id"], (top or 0) + 1)
-        if added is not None:
-            added.withColumn("gen", F.lit(gen).cast("long")).select(*VECTORS.names).write.parquet(f"{self.path}/{tag}/vectors")
-            new["vectors"] = [*new["vectors"], f"{tag}/vectors"]
-            top = self._read(VECTORS, [f"{tag}/vectors"]).agg(F.max("vec_id")).first()[0]
+        if vectors is not None:
+            top = self._read(VECTORS, new["vectors"][-1:]).agg(F.max("vec_id")).first()[0]
             new["next_vec_id"] = max(new["next_vec_id"], -1 if top is None else top + 1)
-        if hidden is not None:
-            hidden.select("note_id", F.lit(gen).cast("long").alias("gen")).write.parquet(f"{self.path}/{tag}/hidden")
-            new["hidden"] = [*new["hidden"], f"{tag}/hidden"]
         self._files.replace("meta.json", json.dumps(new))
         self._meta = new
-        if len(new["vectors"]) > MOST_PARTS:
+        if max(len(new["vectors"]), len(new["notes"])) > MOST_PARTS:
             self.compact()
 
+    @change
     def compact(self) -> None:
-        """Writes the live vectors as one part.  Earlier parts stay for readers that have them open, until ``vacuum``."""
-        gen = self._meta["snapshot"] + 1
-        name = f"snap-{gen:08d}-{uuid.uuid4().hex[:8]}/vectors"
-        self._live().withColumn("gen", F.lit(gen).cast("long")).write.parquet(f"{self.path}/{name}")
-        new = self._meta | {"snapshot": gen, "vectors": [name], "hidden": []}
+        """Writes the live notes and vectors as one part each.  Earlier parts stay for readers that have them open, until ``vacuum``."""
+        tag = self._tag()
+        notes, vectors = self._write(self.notes(), NOTES, f"{tag}/notes"), self._write(self.vectors(), VECTORS, f"{tag}/vectors")
+        new = self._meta | {"snapshot": self._meta["snapshot"] + 1, "notes": [notes], "gone": [], "vectors": [vectors], "hidden": []}
         self._files.replace("meta.json", json.dumps(new))
         self._meta = new
 
+    @change
     def vacuum(self) -> None:
         """Deletes the parts that the current snapshot doesn't name."""
-        named = {n.split("/")[0] for n in [self._meta["notes"] or "", *self._meta["vectors"], *self._meta["hidden"]]}
+        named = {n.split("/")[0] for kind in ("notes", "gone", "vectors", "hidden") for n in self._meta[kind]}
         for status in self._files.fs.listStatus(self._files._path("")):
             name = status.getPath().getName()
             if name.startswith("snap-") and name not in named:
                 self._files.delete(name)
 
+    def chunks(self, docs: DataFrame, *keys: str) -> DataFrame:
+        """(keys, start_i, end_i, contents): the sentences of two letters or digits at least."""
+        rows = docs.select(*keys, F.explode(sentences(F.col("contents"))).alias("c"))
+        return rows.where(wordlike(F.col("c.contents"))).select(*keys, "c.start_i", "c.end_i", "c.contents")
+
     def embedded(self, docs: DataFrame) -> DataFrame:
-        """(path, start_i, end_i, vec): the sentences of two letters or digits at least that have a vector."""
-        chunks = docs.select("path", F.explode(sentences(F.col("contents"))).alias("c"))
-        some = chunks.where(wordlike(F.col("c.contents"))).select("path", "c.start_i", "c.end_i", self.embedder.embed(F.col("c.contents")).alias("vec"))
-        return some.where("vec is not null")
+        """(path, start_i, end_i, vec): the same with their vectors, null for those that have none."""
+        return self.chunks(docs, "path").select("path", "start_i", "end_i", self.embedder.embed(F.col("contents")).alias("vec"))
 
+    @change
     def ingest(self, docs: DataFrame, stream: str | None = None, epoch: int | None = None) -> None:
         """Adds (path, contents) or replaces what a path had; of rows of one path that of the highest ``seq`` counts.
 
         Empty contents keep the path, without vectors.  A batch of a stream that was taken already is skipped.
+        Chunks are numbered before they are embedded, and the vectors go straight to the part that is
+        kept: each chunk goes to the embedder once.
         """
         if stream is not None and self._meta["epochs"].get(stream, -1) >= epoch:
             return
@@ -222,54 +293,64 @@ class VectorStore:
             docs = m.latest(docs.select("path", "contents", "seq"))
         elif not docs.groupBy("path").count().where("count > 1").isEmpty():
             raise DuplicatePath("a path occurs twice and there is no seq")
-        known = self.notes()
-        notes = m.written(m.get_or_create_ids(known, docs, self._meta["next_note_id"]), "notes")
-        rows = self.embedded(docs).join(notes, "path").select("note_id", "start_i", "end_i", "vec")
-        added = m.numbered(rows, ["note_id", "start_i", "end_i"], self._meta["next_vec_id"], "vec_id")
+        tag, known, used = self._tag(), self.notes(), []
+        new = self._write(m.new_ids(m.unknown(known, docs), "path", self._meta["next_note_id"], "note_id", used), NOTES, f"{tag}/notes")
+        every = known.unionByName(self._read(NOTES, [new]).drop("gen"))
+        rows = self.chunks(docs.join(every, "path"), "note_id")
+        placed = m.numbered(rows, ["note_id", "start_i", "end_i"], self._meta["next_vec_id"], "vec_id", used)
+        added = self._write(placed.withColumn("vec", self.embedder.embed(F.col("contents"))), VECTORS, f"{tag}/vectors")
         replaced = known.join(docs.select("path"), "path", "left_semi").select("note_id")
         epochs = self._meta["epochs"] | ({stream: epoch} if stream is not None else {})
-        self._commit(notes, added, replaced, epochs=epochs)
+        self._commit(tag, notes=new, vectors=added, hidden=replaced, epochs=epochs)
+        for t in used:
+            discard(t)
 
+    @change
     def remove(self, path: str) -> None:
         """Drops a path and its vectors together; an unknown path is no error."""
         if not path:
             raise InvalidPath("the path is empty")
-        gone = self.notes().where(F.col("path") == path)
+        gone = self.notes().where(F.col("path") == path).select("note_id")
         if not gone.isEmpty():
-            self._commit(self.notes().where(F.col("path") != path), hidden=gone.select("note_id"))
+            self._commit(self._tag(), gone=gone, hidden=gone)
 
+    @change
     def rename(self, old: str, new: str) -> None:
         """The id stays; the new path must be free."""
         if not old or not new:
             raise InvalidPath("a path is empty")
-        if self.get_id(old) is None:
+        note = self.notes().where(F.col("path") == old)
+        if note.isEmpty():
             raise NotFound(old)
         if old == new:
             return
         if self.get_id(new) is not None:
             raise PathExists(new)
-        self._commit(m.renamed(self.notes(), old, new))
+        self._commit(self._tag(), notes=m.renamed(note, old, new), gone=note.select("note_id"))
 
+    @change
     def prune(self, existing: DataFrame) -> None:
         """Drops the paths that aren't in ``existing``, with their vectors."""
-        kept = m.prune(self.notes(), existing)
-        self._commit(kept, hidden=self.notes().join(kept, "note_id", "left_anti").select("note_id"))
+        gone = self.notes().join(existing.select("path").distinct(), "path", "left_anti").select("note_id")
+        self._commit(self._tag(), gone=gone, hidden=gone)
 
+    @change
     def remove_vector(self, vec_id: int) -> None:
         """Drops one vector; one that isn't there is an error."""
         row = self.vectors().where(F.col("vec_id") == vec_id).select("note_id").first()
         if row is None:
             raise MultipleRemove(str(vec_id))
         rest = self.vectors().where((F.col("note_id") == row["note_id"]) & (F.col("vec_id") != vec_id))
-        self._commit(added=rest, hidden=self.spark.range(1).select(F.lit(row["note_id"]).cast("long").alias("note_id")))
+        self._commit(self._tag(), vectors=rest, hidden=self.spark.range(1).select(F.lit(row["note_id"]).cast("long").alias("note_id")))
 
+    @change
     def copy_vector(self, vec_id: int) -> int | None:
         """A second row like that one; its id, or None if there is none."""
         row = self.vectors().where(F.col("vec_id") == vec_id)
         if row.isEmpty():
             return None
         new = self._meta["next_vec_id"]
-        self._commit(added=row.withColumn("vec_id", F.lit(new).cast("long")))
+        self._commit(self._tag(), vectors=row.withColumn("vec_id", F.lit(new).cast("long")))
         return new
 
     def validate(self) -> None:
@@ -301,7 +382,7 @@ class VectorStore:
         """(query_id, rank, path, start_i, end_i, similarity) for a table (query_id, query); as in ``search``, rows without a path go and ranks close up."""
         from ..functions.text import strip_query
 
-        asked = queries.select("query_id", strip_query(F.col("query")).alias("q")).where("q <> ''").select("query_id", self.embedder.embed(F.col("q")).alias("vec")).where("vec is not null")
+        asked = queries.select("query_id", strip_query(F.col("query")).alias("q")).where("q <> ''").select("query_id", self.embedder.embed(F.col("q")).alias("vec"))  # those without a vector are left out of the blocks
         vectors = self.vectors()
         best = s.search_batch(vectors, asked, k, self.embedder.threshold if threshold is None else threshold)
         found = best.join(vectors.select("vec_id", "note_id", "start_i", "end_i"), "vec_id").join(self.notes(), "note_id")

@@ -5,7 +5,10 @@ import pytest
 from sondera.operators.embedder import HashingEmbedder, ModelEmbedder
 from sondera.plans import relevance as r
 from sondera.sources import store as st
-from sondera.streaming.ingest import IngestQueue, NotQueuedShuttingDown
+from sondera.functions.tokenizer import Vocabulary
+from sondera.operators.embedder import TokenEmbedder
+from sondera.plans import fuzz
+from sondera.streaming.ingest import Full, IngestQueue, NotQueuedShuttingDown
 
 E = HashingEmbedder(64, 0.3, 0.8)
 
@@ -163,3 +166,145 @@ def test_scores(spark):
     expected = spark.createDataFrame([(1, "a", True, 10), (1, "q", False, 10), (1, "b", False, 10)], "query_id int, path string, include boolean, weight int")
     assert r.inclusion_scores(results, expected).first().got == 20
     assert r.report(r.first_hit_scores(results, expected.where("include").select("query_id", "path", "weight")), "f").first().percent == 100.0
+
+
+def test_the_last_push_wins_after_a_restart(spark, store, tmp_path):
+    folder = str(tmp_path / "queue")
+    first = IngestQueue(store, folder)
+    for k in range(3):
+        first.push("p", f"old{k}.")
+    again = IngestQueue(store, folder)
+    again.push("p", "newest.")
+    again.drain()
+    assert store.search("newest").count() == 1 and store.count() == 1 and not any(store.search(f"old{k}").count() for k in range(3))
+    assert not again._names()  # what is taken in doesn't stay
+    third = IngestQueue(store, folder)
+    third.push("p", "latest.")
+    third.shutdown()
+    assert store.search("latest").count() == 1 and store.search("newest").count() == 0
+
+
+def test_a_full_queue(spark, store, tmp_path):
+    queue = IngestQueue(store, str(tmp_path / "queue"), capacity=2)
+    queue.push("a", "x1.")
+    queue.push("b", "x2.")
+    with pytest.raises(Full):
+        queue.push("c", "x3.")
+    queue.push("a", "x4.")  # a path that is pending is only replaced
+    queue.drain()
+    queue.push("c", "x5.")
+    queue.shutdown()
+    assert sorted(r.path for r in store.notes().collect()) == ["a", "b", "c"] and store.search("x4").count() == 1 and store.search("x1").count() == 0
+
+
+def test_a_queue_that_works_in_the_background(spark, store, tmp_path):
+    queue = IngestQueue(store, str(tmp_path / "queue"))
+    running = queue.run()
+    for k in range(4):
+        queue.push(f"p{k % 2}", f"word{k}.")
+    queue.drain()
+    assert running.isActive and store.search("word3").count() == 1 and store.search("word0").count() == 0
+    queue.push("p9", "word9.")
+    queue.shutdown()
+    assert not running.isActive and store.search("word9").count() == 1 and not queue._names()
+    with pytest.raises(NotQueuedShuttingDown):
+        queue.push("p", "x")
+
+
+def counting(folder):
+    """A model that leaves a line for every text that it gets."""
+
+    def load():
+        import os
+        import uuid
+
+        import numpy as np
+
+        def model(texts):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    return load
+
+
+def test_each_chunk_goes_to_the_model_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    store = st.VectorStore.open(spark, str(tmp_path / "store"), ModelEmbedder("count", 2, 0.1, 0.5, counting(str(seen))))
+    rows = [(f"p{k:03d}", ". ".join(f"sentence {k} {j}" for j in range(5))) for k in range(40)]
+    store.ingest(docs(spark, rows).repartition(5))
+    sent = [line for f in seen.iterdir() for line in f.read_text().split("\n")]
+    assert len(sent) == 200 == len(set(sent)) and store.vectors().count() == 200
+    for f in seen.iterdir():
+        f.unlink()
+    asked = spark.createDataFrame([(k, f"query {k}") for k in range(30)], "query_id int, query string")
+    assert store.search_batch(asked, 2).count() == 60
+    assert len([line for f in seen.iterdir() for line in f.read_text().split("\n")]) == 30
+
+
+def test_another_writer_is_refused(spark, store):
+    other = st.VectorStore.open(spark, store.path, E)
+    store.ingest(docs(spark, [("a", "apple.")]))
+    with pytest.raises(st.ConcurrentWrite):
+        other.ingest(docs(spark, [("b", "banana.")]))
+    fresh = st.VectorStore.open(spark, store.path, E)
+    assert fresh._files.claim("lock")  # a writer that died
+    with pytest.raises(st.ConcurrentWrite):
+        fresh.remove("a")
+    fresh.unlock()
+    fresh.remove("a")
+    assert fresh.count() == 0 and store.count() == 1  # a reader keeps its snapshot
+
+
+def test_parts_are_compacted(spark, store, monkeypatch):
+    monkeypatch.setattr(st, "MOST_PARTS", 3)
+    for k in range(5):
+        store.ingest(docs(spark, [(f"p{k}", f"word{k}."), ("p0", f"again{k}.")] if k else [("p0", "first.")]))
+        store.rename(f"p{k}", f"q{k}") if k else None
+    assert store.stats()["parts"] <= 4 and store.vectors().count() == 5 and sorted(r.path for r in store.notes().collect()) == ["p0", "q1", "q2", "q3", "q4"]
+    first = store.vectors().where("vec_id is not null").orderBy("vec_id").first().vec_id
+    assert store.occupied(first) and not store.occupied(10**6)
+
+
+def test_token_embedder(spark, caplog):
+    """Through ids, mask, a model that gives each token a vector, the mean over real tokens, and unit length."""
+    import numpy as np
+
+    vocabulary = Vocabulary({b"[UNK]": 100, b"ab": 1, b"##c": 2, b"d": 3})
+
+    def load():
+        return lambda ids, mask: np.stack([ids.astype(float), mask * 7.0, np.where(mask == 1, 1.0, 1e9)], axis=2)
+
+    model = TokenEmbedder("tokens", 3, 0.1, 0.5, vocabulary, load, length=6, at_once=2)
+    texts = ["abc d", "", None, "zz", "d d d d d d d d", "abc d"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").coalesce(1)
+    got = [r.v for r in rows.select("k", model.embed(rows["s"]).alias("v")).orderBy("k").collect()]
+    for text, v in zip(texts, got, strict=True):
+        if not text:
+            assert v is None
+            continue
+        ids = vocabulary.encode(text.encode())[:6]
+        want = np.array([np.mean(ids), 7.0, 1.0])
+        assert v == pytest.approx((want / np.linalg.norm(want)).tolist(), abs=1e-6)
+    with caplog.at_level("WARNING"):
+        assert model.embed_one("abc d") == pytest.approx(got[0]) and not caplog.records
+        model.embed_one("abc d!")
+    assert len(caplog.records) == 1
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_random_operations(spark, tmp_path, seed):
+    lines = []
+    run = fuzz.Run(spark, str(tmp_path), seed, E, log=lines.append)
+    run.go(16)
+    events = [__import__("json").loads(x) for x in lines]
+    assert events[0]["event"] == "start" and events[-1] == {"event": "done", "ops": 16} and len({e.get("op") for e in events}) > 4
+
+
+def test_random_texts():
+    rng = random.Random(1)
+    texts = [fuzz.random_text(rng, 64) for _ in range(500)]
+    assert "" in texts and max(map(len, texts)) > 40 and all(32 <= ord(c) <= 126 for t in texts for c in t) and max(map(len, texts)) <= 64
