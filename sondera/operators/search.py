@@ -79,13 +79,18 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     """(query_id, rank, vec_id, similarity) for a table (query_id, vec) of queries.
 
     Both sides are packed into blocks, whose product is one matrix product for each pair: at some
-    hundred dimensions that is far cheaper than a higher-order function for each pair of rows.  Spark
-    broadcasts the blocks of the queries if their size allows and else makes a Cartesian product.
-    Each pair of blocks sends on at most k rows for each query.
+    hundred dimensions that is far cheaper than a higher-order function for each pair of rows.  The
+    vectors' blocks are dealt to as many slots as there are shuffle partitions, the queries' blocks go to
+    every slot: each vector travels once, and no partition gets more than its share, whatever the
+    dimensions.  If the queries are small enough Spark broadcasts them, and the vectors stay where they are.
+    Each pair of blocks sends on at most k rows for each query, and ties.
     """
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), "query_ids", "query_vecs").withColumnRenamed("dim", "query_dim")
+    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     held = _blocks(vectors.select(F.col("vec_id").alias("id"), "vec"), "vec_ids", "vecs")
-    pairs = asked.crossJoin(held).where("query_dim = dim").select("query_ids", "query_vecs", "vec_ids", "vecs", "dim")
+    held = held.withColumn("slot", F.pmod(F.xxhash64("vec_ids"), F.lit(slots)).cast("int"))
+    pairs = asked.join(held, "slot").where("query_dim = dim").select("query_ids", "query_vecs", "vec_ids", "vecs", "dim")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

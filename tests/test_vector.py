@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,26 @@ def test_unit_vectors(spark):
     rows = random_unit_vectors(spark, 50, 8).collect()
     assert all(math.isclose(sum(x * x for x in r.vec), 1, abs_tol=1e-5) for r in rows) and rows == random_unit_vectors(spark, 50, 8).collect()
     assert generate_notes(spark, 3).count() == 3
+
+
+def test_batch_search_without_a_broadcast(spark):
+    """Blocks of several dimensions over all slots: as many rows as by hand, and no shuffle on the dimension alone."""
+    rng = __import__("random").Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(3 if k % 4 else 2)]) for k in range(60)]
+    held = spark.createDataFrame(rows, "vec_id long, vec array<float>").repartition(6)
+    asked = spark.createDataFrame(rows[:9], "query_id long, vec array<float>").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = s.search_batch(held, asked, 3, -1e9)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert any("slot" in k for k in keys) and not any("dim" in k and "slot" not in k for k in keys) and "Cartesian" not in plan and "NestedLoop" not in plan
+    for q, x in rows[:9]:
+        sims = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)), 5), k) for k, y in rows if len(y) == len(x))
+        assert [k for _, k in sims[:3]] == [got[q][n] for n in (1, 2, 3)]
