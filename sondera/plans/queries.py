@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,10 @@ from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.embedder import HashingEmbedder
 from ..operators.highlight import highlight_rows
+from ..sources.shared import shared_dir
+from ..sources.store import VectorStore
 from ..streaming.ingest import latest_events
+from . import benchmark as bm
 from . import relevance as r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +29,19 @@ DIM, K = 64, 20
 EMBEDDER = HashingEmbedder(DIM, 0.3, 0.9)
 PHRASE = "of the and in this that"
 PAIRS = [(0, "the tion"), (1, "de la ciudad"), (2, "und der die"), (3, "les des une"), (4, "?a"), (5, "with the other thing.")]
-TOY = {"[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "the": 5, "th": 6, "##e": 7, "##re": 8, "an": 9, "##d": 10, "o": 11, "##f": 12, "##n": 13, "##t": 14, "##h": 15, "##ing": 16, "in": 17, "er": 18, "##er": 19, ".": 20, ",": 21}
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def pieces() -> dict[str, int]:
+    """A vocabulary of some 19,000 pieces by rule: of all runs of up to three signs those whose MD5 says so, by themselves and continued."""
+    runs = [*SIGNS, *(a + b for a in SIGNS for b in SIGNS), *(a + b + c for a in SIGNS[:26] for b in SIGNS[:26] for c in SIGNS[:26])]
+    found = {"[UNK]": 100, "[CLS]": 101, "[SEP]": 102, ".": 103, ",": 104}
+    for k, run in enumerate(runs):
+        for name, place in ((run, 1000 + 2 * k), ("##" + run, 1001 + 2 * k)):
+            first = hashlib.md5(name.encode()).hexdigest()[0]
+            if first != "0" if len(run) == 1 else first < "8":
+                found[name] = place
+    return found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,9 +216,10 @@ def basic_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wordpiece_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    vocabulary = tk.Vocabulary({k.encode(): i for k, i in TOY.items()})
+    vocabulary = tk.Vocabulary({k.encode(): i for k, i in pieces().items()})
     ids = d.select("doc_id", tk.wordpiece(F.col("text"), vocabulary).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n"), tk.padded(F.col("ids")).alias("padded")).select("doc_id", "n", "padded.ids", "padded.mask")
+    full = ids.select("doc_id", F.size("ids").alias("n"), tk.padded(F.col("ids")).alias("p"))
+    return full.select("doc_id", "n", F.array_join(F.col("p.ids").cast("array<string>"), " ").alias("ids"), F.aggregate("p.mask", F.lit(0), lambda a, x: a + x).alias("real"))
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,24 +263,58 @@ def async_ingest_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_events(table(spark, sf_dir, "events"), "user_id", "props", ["ts", "event_id"])
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item has as hits all labelled documents, in an order of its own."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    d = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    hits = b.crossJoin(d)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.md5(F.concat_ws("-", "query_id", "doc_id"))))
-    return hits.select("query_id", "quality", F.col("doc_id").cast("string").alias("path"), rank.alias("rank"))
-
-
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _results(spark, sf_dir)
-    expected = results.select("query_id", "path", (F.col("quality") == 1).alias("include"), F.lit(10).alias("weight"))
-    shown = results.where("rank <= 3")
-    binary = r.binary_scores(shown, results.where("quality = 1").groupBy("query_id").agg(F.min_by("path", "rank").alias("want")))
-    first = r.first_hit_scores(shown, results.where("rank = 1").select("query_id", "path", F.lit(44).alias("weight")))
+    """Every vector asks for its nearest others, and its own note is the one expected: a score that can fail."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").alias("vec"))
+    best = s.search_batch(vectors(spark, sf_dir), e.select(F.col("vec_id").alias("query_id"), "vec"), 4, 0.1).where("vec_id <> query_id")
+    path = F.concat(F.lit("note-"), F.col("label"))
+    shown = best.join(e.select("vec_id", path.alias("path")), "vec_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).select("query_id", "rank", "path")
+    own = e.select(F.col("vec_id").alias("query_id"), path.alias("path"), "label")
+    other = own.select("query_id", F.concat(F.lit("note-"), (F.col("label") + 1) % 10).alias("path"), F.lit(False).alias("include"))
+    expected = own.select("query_id", "path", F.lit(True).alias("include")).unionAll(other).withColumn("weight", F.lit(10))
+    binary = r.binary_scores(shown, own.select("query_id", F.col("path").alias("want")))
+    first = r.first_hit_scores(shown, own.select("query_id", "path", F.lit(44).alias("weight")))
     return r.report(binary, "binary").unionAll(r.report(r.inclusion_scores(shown, expected), "inclusion")).unionAll(r.report(first, "first"))
 
 
+def relevance_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.run(spark, EMBEDDER)
+
+
+def _store(spark: SparkSession, docs: DataFrame) -> VectorStore:
+    store = VectorStore.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", EMBEDDER)
+    store.ingest(docs)
+    return store
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"), F.col("text").alias("contents"), "lang", "doc_id")
+
+
+def store_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a store: taken in, some replaced, a vector removed, a path renamed and one removed, others pruned; validated, compacted and opened again."""
+    docs = _paths(spark, sf_dir)
+    store = _store(spark, docs)
+    store.ingest(docs.where("lang = 'fr'").select("path", F.concat(F.lit("Replaced text of "), "doc_id", F.lit(". A second sentence! ok")).alias("contents")))
+    store.remove_vector(store.vectors().agg(F.min("vec_id")).first()[0])
+    first, last = store.notes().agg(F.min("path"), F.max("path")).first()
+    store.rename(first, "moved")
+    store.remove(last)
+    store.prune(docs.where("lang <> 'de'").select("path").unionAll(spark.range(1).select(F.lit("moved"))))
+    store.validate()
+    store.compact()
+    again = VectorStore.open(spark, store.path, EMBEDDER)
+    again.vacuum()
+    sums = again.vectors().groupBy("note_id").agg(F.count("*").alias("n"), F.sum("start_i").alias("starts"), F.sum("end_i").alias("ends"))
+    return again.notes().join(sums, "note_id", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("ends", F.lit(0)).alias("ends"))
+
+
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, _paths(spark, sf_dir))
+    found = VectorStore.open(spark, store.path, EMBEDDER).search(PHRASE, 50)
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
 def queries() -> dict[str, Query]:
     found = {
         "vector_dot": _against_first("dot", v.dot), "vector_magnitude": _against_first("norm", lambda a, _: v.magnitude(a)), "cosine_similarity": _against_first("cosine", v.cosine_similarity),
@@ -271,6 +323,7 @@ def queries() -> dict[str, Query]:
         vector_is_zero, vector_normalize, vector_masked_mean, search_topk, search_threshold, unique_search, batch_search, vecs_for_note, get_vector, remove_by_note, replace_vectors,
         copy_vector, rename_path, remove_path, prune_orphans, validate_overlaps, assign_note_ids, count_notes, sentence_split, word_split, sentence_chunks, url_chunks, chunk_filter, strip_query,
         basic_tokenize, wordpiece_tokenize, hash_embed, embed_text, text_search, text_unique_search, highlights, async_ingest_latest_wins, quality_score,
+        relevance_benchmark, store_lifecycle, store_search,
     )
     return found | {f.__name__: f for f in named}
 
@@ -313,10 +366,55 @@ def _text_hits_sql(limit: int) -> str:
         hits AS (SELECT rank::INTEGER AS rank, d.source || '/' || s.doc_id AS path, s.start_i, s.end_i, similarity FROM best JOIN sentences s USING (vec_id) JOIN documents d ON d.doc_id = s.doc_id)"""
 
 
+def _stored_sql(state: str) -> str:
+    """``stored`` (path, start_i, end_i): the sentences that have a vector, of the rows (path, contents) of ``state``."""
+    return f"""{_spans_sql(state, "path", "contents", SENTENCE_SQL)},
+        sentences AS (SELECT path || ':' || start_i AS place, path, start_i, end_i, contents FROM spans WHERE length(regexp_replace(contents, '[^{ALNUM}]', '', 'g')) >= 2),
+        {_hash_sql("sentences", "place", "contents")},
+        stored AS (SELECT * FROM sentences WHERE place IN (SELECT place FROM unit_sentences))"""
+
+
+def _wordpiece_sql() -> str:
+    """Greedy longest matches, one piece at each step of a recursion over the distinct words."""
+    says = "CASE WHEN length(piece) = 1 THEN substr(md5({x}), 1, 1) <> '0' ELSE substr(md5({x}), 1, 1) < '8' END"
+    return f"""WITH RECURSIVE l AS (SELECT unnest(string_split('{SIGNS}', '')) AS c, generate_subscripts(string_split('{SIGNS}', ''), 1) - 1 AS i),
+        runs AS (SELECT c AS piece, i AS k FROM l UNION ALL SELECT a.c || b.c, 36 + 36 * a.i + b.i FROM l a, l b UNION ALL SELECT a.c || b.c || d.c, 1332 + 676 * a.i + 26 * b.i + d.i FROM l a, l b, l d WHERE a.i < 26 AND b.i < 26 AND d.i < 26),
+        vocabulary AS MATERIALIZED (SELECT piece, false AS more, 1000 + 2 * k AS id FROM runs WHERE {says.format(x="piece")} UNION ALL SELECT piece, true, 1001 + 2 * k FROM runs WHERE {says.format(x="'##' || piece")} UNION ALL SELECT '.', false, 103 UNION ALL SELECT ',', false, 104),
+        texts AS (SELECT doc_id, regexp_extract_all(translate(text, '{t.UPPER}', '{t.LOWER}'), '[a-z0-9]+|[^a-z0-9 \t\n\r\x0B\f]') AS words FROM documents),
+        tokens AS MATERIALIZED (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts),
+        words AS (SELECT DISTINCT w FROM tokens),
+        walk AS (
+            SELECT w, 1 AS place, []::BIGINT[] AS ids, false AS failed FROM words WHERE strlen(w) = length(w) AND strlen(w) <= 100
+            UNION ALL
+            SELECT w, (place + coalesce(length(c.piece), length(b.piece), length(a.piece), 1))::INTEGER, list_append(ids, coalesce(c.id, b.id, a.id)), coalesce(c.id, b.id, a.id) IS NULL
+            FROM walk LEFT JOIN vocabulary c ON c.piece = substr(w, place, 3) AND c.more = (place > 1) LEFT JOIN vocabulary b ON b.piece = substr(w, place, 2) AND b.more = (place > 1) LEFT JOIN vocabulary a ON a.piece = substr(w, place, 1) AND a.more = (place > 1)
+            WHERE place <= length(w) AND NOT failed),
+        known AS (SELECT w, CASE WHEN failed THEN [100] ELSE ids END AS ids FROM walk WHERE failed OR place > length(w)),
+        coded AS (SELECT doc_id, i, coalesce(ids, CASE WHEN strlen(w) > length(w) THEN list_transform(range(strlen(w)), lambda x: 100) ELSE [100] END) AS ids FROM tokens LEFT JOIN known USING (w)),
+        full_ids AS (SELECT doc_id, list_concat([101], coalesce(any_value(f.ids), []), [102]) AS ids FROM documents LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM coded GROUP BY doc_id) f USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(ids)::INTEGER AS n, array_to_string(list_resize(ids, {tk.SEQUENCE}, 0), ' ') AS ids, least(len(ids), {tk.SEQUENCE})::INTEGER AS real FROM full_ids"""
+
+
+def _relevance_sql() -> str:
+    docs, asked, expected = bm.cases()
+    stripped = f"CASE WHEN regexp_full_match(query, '(?s)[^{ALNUM}]*[{ALNUM}]') THEN '' ELSE regexp_extract(query, '(?s)[{ALNUM}](?:.*[{ALNUM}])?') END"
+    return f"""WITH docs AS (SELECT query_id || '#' || path AS path, contents FROM {bm.values(docs)} v(test, query_id, path, contents)),
+        {_stored_sql("docs")},
+        queries AS (SELECT query_id, {stripped} AS query FROM {bm.values(asked)} v(test, query_id, query)), {_hash_sql("queries", "query_id", "query")},
+        expected AS (SELECT * FROM {bm.values(expected)} v(test, query_id, path, include, weight)),
+        near AS (SELECT s.path, q.query_id, round(sum(u.x * q.x), 6) AS similarity FROM stored s JOIN unit_sentences u USING (place) JOIN unit_queries q ON q.bucket = u.bucket AND s.path LIKE q.query_id || '#%' GROUP BY s.path, s.start_i, q.query_id HAVING similarity > {EMBEDDER.threshold}),
+        hits AS (SELECT query_id, split_part(path, '#', 2) AS path, row_number() OVER (PARTITION BY query_id ORDER BY max(similarity) DESC, path) AS rank FROM near GROUP BY query_id, near.path),
+        firsts AS (SELECT query_id, arg_min(path, rank) AS first, count(*) AS n FROM hits GROUP BY query_id),
+        scores AS (
+            SELECT test, CASE WHEN f.first = e.path THEN CASE WHEN f.n = 1 THEN 40 ELSE 20 END ELSE 0 END AS got, 40 AS total FROM expected e LEFT JOIN firsts f USING (query_id) WHERE test = '{bm.BINARY}'
+            UNION ALL SELECT test, CASE WHEN f.first = e.path THEN weight ELSE 0 END, weight FROM expected e LEFT JOIN firsts f USING (query_id) WHERE test = '{bm.PARITY}'
+            UNION ALL SELECT test, CASE WHEN (h.path IS NOT NULL) = e.include THEN weight ELSE 0 END, weight FROM expected e LEFT JOIN hits h USING (query_id, path) WHERE test NOT IN ('{bm.BINARY}', '{bm.PARITY}'))
+        SELECT coalesce(test, 'all') AS label, sum(got)::BIGINT AS got, sum(total)::BIGINT AS total, round(100.0::DOUBLE * sum(got) / sum(total), 2) AS percent FROM scores GROUP BY ROLLUP (test)"""
+
+
 def oracle_sql() -> dict[str, str]:
     vec, note, q = VECTORS_SQL, NOTES_SQL, QUERY_SQL
     hits = f"(SELECT row_number() OVER (ORDER BY round(similarity, 6) DESC, vec_id) AS rank, * FROM (SELECT vec_id, note_id, start_i, end_i, list_inner_product(vec, q) AS similarity FROM {vec}, {q}))"
-    results = "(SELECT b.item_id AS query_id, l.quality, l.doc_id::VARCHAR AS path, row_number() OVER (PARTITION BY b.item_id ORDER BY md5(b.item_id || '-' || l.doc_id)) AS rank FROM benchmark b, labels l)"
     return {
         "vector_dot": f"SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS dot FROM embeddings, {q}",
         "vector_magnitude": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
@@ -362,12 +460,28 @@ def oracle_sql() -> dict[str, str]:
             near AS (SELECT key, start_i, end_i FROM coded WHERE codes = [('0x' || substr(md5('the'), 1, 8))::BIGINT % {DIM} * 2 + ('0x' || substr(md5('the'), 9, 1))::BIGINT % 2])
             SELECT key, (row_number() OVER w - 1)::INTEGER AS pos, start_i, end_i FROM near WINDOW w AS (PARTITION BY key ORDER BY start_i) QUALIFY row_number() OVER w <= 4""",
         "async_ingest_latest_wins": "SELECT user_id AS path, arg_max(props, (ts, event_id)) AS contents, count(*) AS pushed FROM events GROUP BY user_id",
-        "quality_score": f"""WITH res AS {results}, shown AS (SELECT * FROM res WHERE rank <= 3),
-            want AS (SELECT query_id, arg_min(path, rank) AS want FROM res WHERE quality = 1 GROUP BY query_id),
+        "quality_score": """WITH near AS (SELECT a.vec_id AS query_id, b.vec_id, 'note-' || b.label AS path, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b),
+            best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM near),
+            shown AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM best WHERE rank <= 4 AND similarity > 0.1 AND vec_id <> query_id),
             hits AS (SELECT query_id, arg_min(path, rank) AS first, count(*) AS n FROM shown GROUP BY query_id),
-            b AS (SELECT CASE WHEN first = want THEN 20 ELSE 0 END + CASE WHEN first = want AND n = 1 THEN 20 ELSE 0 END AS got, 40 AS total FROM want LEFT JOIN hits USING (query_id)),
-            i AS (SELECT CASE WHEN (s.path IS NOT NULL) = (r.quality = 1) THEN 10 ELSE 0 END AS got, 10 AS total FROM res r LEFT JOIN shown s USING (query_id, path)),
-            f AS (SELECT 44 AS got, 44 AS total FROM res WHERE rank = 1),
-            every AS (SELECT 'binary' AS label, * FROM b UNION ALL SELECT 'inclusion', * FROM i UNION ALL SELECT 'first', * FROM f)
+            own AS (SELECT vec_id AS query_id, 'note-' || label AS path, 'note-' || (label::BIGINT + 1) % 10 AS other FROM embeddings),
+            expected AS (SELECT query_id, path, true AS include FROM own UNION ALL SELECT query_id, other, false FROM own),
+            seen AS (SELECT DISTINCT query_id, path, true AS hit FROM shown),
+            every AS (SELECT 'binary' AS label, CASE WHEN first = path THEN CASE WHEN n = 1 THEN 40 ELSE 20 END ELSE 0 END AS got, 40 AS total FROM own LEFT JOIN hits USING (query_id)
+                UNION ALL SELECT 'inclusion', CASE WHEN coalesce(hit, false) = include THEN 10 ELSE 0 END, 10 FROM expected LEFT JOIN seen USING (query_id, path)
+                UNION ALL SELECT 'first', CASE WHEN first = path THEN 44 ELSE 0 END, 44 FROM own LEFT JOIN hits USING (query_id))
             SELECT label, sum(got)::BIGINT AS got, sum(total)::BIGINT AS total, round(100.0::DOUBLE * sum(got) / sum(total), 2) AS percent FROM every GROUP BY label""",
+        "wordpiece_tokenize": _wordpiece_sql(),
+        "relevance_benchmark": _relevance_sql(),
+        "store_lifecycle": f"""WITH named AS (SELECT source || '/' || doc_id AS path, * FROM documents), ends AS (SELECT min(path) AS first, max(path) AS last FROM named),
+            state AS (SELECT path, CASE WHEN lang = 'fr' THEN 'Replaced text of ' || doc_id || '. A second sentence! ok' ELSE text END AS contents, lang FROM named), {_stored_sql("state")},
+            removed AS (SELECT s.place FROM stored s JOIN named n USING (path) WHERE n.lang IS DISTINCT FROM 'fr' ORDER BY s.path, s.start_i LIMIT 1),
+            kept AS (SELECT n.path FROM named n, ends WHERE n.path <> last AND (n.lang <> 'de' OR n.path = first))
+            SELECT CASE WHEN k.path = (SELECT first FROM ends) THEN 'moved' ELSE k.path END AS path, count(s.place) AS n, coalesce(sum(s.start_i), 0)::BIGINT AS starts, coalesce(sum(s.end_i), 0)::BIGINT AS ends
+            FROM kept k LEFT JOIN (SELECT * FROM stored WHERE place NOT IN (SELECT place FROM removed)) s ON s.path = k.path GROUP BY k.path""",
+        "store_search": f"""WITH state AS (SELECT source || '/' || doc_id AS path, text AS contents FROM documents), {_stored_sql("state")},
+            asked AS (SELECT 0 AS q, '{PHRASE}' AS phrase), {_hash_sql("asked", "q", "phrase")},
+            scored AS (SELECT u.place, sum(u.x * a.x) AS similarity FROM unit_sentences u JOIN unit_asked a USING (bucket) GROUP BY u.place),
+            best AS (SELECT s.path, s.start_i, s.end_i, similarity, row_number() OVER (ORDER BY round(similarity, 6) DESC, s.path, s.start_i) AS rank FROM scored JOIN stored s USING (place))
+            SELECT rank::INTEGER AS rank, path, start_i, end_i, round(similarity, 4) AS similarity FROM best WHERE rank <= 50 AND similarity > {EMBEDDER.threshold}""",
     }

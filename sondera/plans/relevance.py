@@ -32,3 +32,10 @@ def report(scores: DataFrame, label: str) -> DataFrame:
     """(label, got, total, percent)."""
     sums = scores.agg(F.coalesce(F.sum("got"), F.lit(0)).alias("got"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     return sums.select(F.lit(label).alias("label"), "got", "total", F.round(F.when(F.col("total") > 0, 100.0 * F.col("got") / F.col("total")).otherwise(0.0), 2).alias("percent"))
+
+
+def by_label(scores: DataFrame) -> DataFrame:
+    """(label, got, total, percent) for each ``label`` of the scores, and for "all"."""
+    sums = scores.groupBy(F.col("label")).agg(F.sum("got").alias("got"), F.sum("total").alias("total"))
+    every = scores.agg(F.lit("all").alias("label"), F.sum("got").alias("got"), F.sum("total").alias("total"))
+    return sums.unionByName(every).withColumn("percent", F.round(F.when(F.col("total") > 0, 100.0 * F.col("got") / F.col("total")).otherwise(0.0), 2))
