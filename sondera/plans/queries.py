@@ -18,7 +18,7 @@ from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.embedder import HashingEmbedder
 from ..operators.highlight import highlight_rows
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, spread
 from ..sources.store import VectorStore
 from ..streaming.ingest import latest_events
 from . import benchmark as bm
@@ -172,7 +172,7 @@ def count_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str, source: str, key: str, text: str, delimiters: str) -> DataFrame:
-    d = table(spark, sf_dir, source)
+    d = spread(table(spark, sf_dir, source))
     rows = d.select(key, F.explode(t.spans(F.col(text), delimiters)).alias("c"))
     return rows.select(key, "c.pos", "c.start_i", "c.end_i", "c.contents", "c.type")
 
@@ -191,7 +191,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     rows = p.select("page_id", F.explode(t.sentences(F.concat_ws(" see ", "url", F.regexp_replace("html", "<[^>]*>", " ")))).alias("c"))
     return rows.groupBy("page_id", F.col("c.contents").alias("contents"), F.col("c.type").alias("type")).agg(F.count("*").alias("n"))
 
@@ -209,13 +209,13 @@ def strip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basic_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     rows = d.select("doc_id", F.explode(tk.basic_tokens(F.col("text"))).alias("token"))
     return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
 def wordpiece_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     vocabulary = tk.Vocabulary({k.encode(): i for k, i in pieces().items()})
     ids = d.select("doc_id", tk.wordpiece(F.col("text"), vocabulary).alias("ids"))
     full = ids.select("doc_id", F.size("ids").alias("n"), tk.padded(F.col("ids")).alias("p"))
@@ -223,14 +223,14 @@ def wordpiece_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", EMBEDDER.embed(F.col("text")).alias("vec"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", EMBEDDER.embed(F.col("text")).alias("vec"))
     rows = d.select("doc_id", F.posexplode("vec").alias("bucket", "x"))
     return rows.where("x <> 0").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 def _sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, note_id, start_i, end_i, vec) of the sentences of documents, ready to be searched."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.explode(t.sentences(F.col("text"))).alias("c"))
+    rows = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("note_id"), F.explode(t.sentences(F.col("text"))).alias("c"))
     some = rows.where(t.wordlike(F.col("c.contents")))
     return some.select((F.col("note_id") * 1_000_000 + F.col("c.pos")).alias("vec_id"), "note_id", "c.start_i", "c.end_i", EMBEDDER.embed(F.col("c.contents")).alias("vec"))
 
@@ -254,7 +254,7 @@ def text_unique_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    c = spread(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
     found = highlight_rows(c, s.literal(EMBEDDER.embed_one("the")), EMBEDDER, "key", "text", 4)
     return found.select("key", F.posexplode("highlights").alias("pos", "h")).select("key", "pos", "h.start_i", "h.end_i")
 

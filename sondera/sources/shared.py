@@ -33,3 +33,9 @@ def discard(df: DataFrame) -> None:
     jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(df._written_at)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its files give fewer: what runs in Python then has all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
