@@ -67,14 +67,19 @@ def prune(notes: DataFrame, existing: DataFrame) -> DataFrame:
     return notes.join(existing.select("path").distinct(), "path", "left_semi").select("note_id", "path")
 
 
-def overlaps(vectors: DataFrame) -> DataFrame:
+def overlaps(vectors: DataFrame, width: int = 1024) -> DataFrame:
     """(note_id, vec_a, vec_b) of vectors of one note with ``a.start < b.end and b.start < a.end``.
 
-    An equi-join on the note with the range as a further condition; skewed notes are left to AQE.
+    Intervals meet in the stretches of ``width`` bytes that they touch, so that a note of very many
+    vectors is neither one task's nor compared pair by pair; a pair counts in the stretch of its later start.
     """
-    a = vectors.select("note_id", F.col("vec_id").alias("vec_a"), F.col("start_i").alias("a_start"), F.col("end_i").alias("a_end"))
-    b = vectors.select("note_id", F.col("vec_id").alias("vec_b"), F.col("start_i").alias("b_start"), F.col("end_i").alias("b_end"))
-    return a.join(b, "note_id").where("vec_a < vec_b and a_start < b_end and b_start < a_end").select("note_id", "vec_a", "vec_b")
+    last = F.greatest("start_i", F.col("end_i") - 1)
+    stretches = F.explode(F.sequence(F.floor(F.col("start_i") / width), F.floor(last / width)))
+    rows = vectors.select("note_id", "vec_id", "start_i", "end_i", stretches.alias("stretch"))
+    a = rows.select("note_id", "stretch", F.col("vec_id").alias("vec_a"), F.col("start_i").alias("a_start"), F.col("end_i").alias("a_end"))
+    b = rows.select("note_id", "stretch", F.col("vec_id").alias("vec_b"), F.col("start_i").alias("b_start"), F.col("end_i").alias("b_end"))
+    met = a.join(b, ["note_id", "stretch"]).where("vec_a < vec_b and a_start < b_end and b_start < a_end")
+    return met.where(F.col("stretch") == F.floor(F.greatest("a_start", "b_start") / width)).select("note_id", "vec_a", "vec_b")
 
 
 def latest(docs: DataFrame, key: str = "path", seq: str = "seq") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
     vectors' blocks are dealt to as many slots as there are shuffle partitions, the queries' blocks go to
     every slot: each vector travels once, and no partition gets more than its share, whatever the
     dimensions.  If the queries are small enough Spark broadcasts them, and the vectors stay where they are.
-    Each pair of blocks sends on at most k rows for each query, and ties.
+    Each pair of blocks sends on at most k rows for each query, ties by the lesser id.
     """
     slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), "query_ids", "query_vecs").withColumnRenamed("dim", "query_dim")
@@ -102,10 +103,16 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: floa
                 q, x = (np.frombuffer(b.column(c)[row].as_py(), np.float32).reshape(-1, b.column(4)[row].as_py()).astype(float) for c in (1, 3))
                 sims = np.nan_to_num(q @ x.T, nan=-np.inf)
                 near = np.round(sims, TIE)
-                # all that reach the k-th best, ties too; the window chooses among them
                 cut = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
                 i, j = np.nonzero((near >= cut[:, None]) & (sims > threshold))
-                yield pa.RecordBatch.from_arrays([b.column(0)[row].values.take(pa.array(i)), b.column(2)[row].values.take(pa.array(j)), pa.array(sims[i, j])], names=["query_id", "vec_id", "similarity"])
+                ids = b.column(2)[row].values
+                place = np.empty(len(ids), np.int64)
+                place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                order = np.lexsort((place[j], -near[i, j], i))
+                i, j = i[order], j[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[best], j[best]
+                yield pa.RecordBatch.from_arrays([b.column(0)[row].values.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sims[i, j])], names=["query_id", "vec_id", "similarity"])
 
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
     order = W.partitionBy("query_id").orderBy(F.round("similarity", TIE).desc(), "vec_id")

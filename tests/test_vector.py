@@ -124,3 +124,23 @@ def test_batch_search_without_a_broadcast(spark):
     for q, x in rows[:9]:
         sims = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)), 5), k) for k, y in rows if len(y) == len(x))
         assert [k for _, k in sims[:3]] == [got[q][n] for n in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1024])
+def test_overlaps_against_all_pairs(spark, width):
+    rng = __import__("random").Random(width)
+    rows = []
+    for k in range(120):
+        start = rng.randrange(60)
+        rows.append((k, k % 3, start, start + rng.choice([0, 0, 1, 2, 5, 40])))
+    df = spark.createDataFrame(rows, "vec_id long, note_id long, start_i long, end_i long")
+    want = {(n, a, b) for a, n, s1, e1 in rows for b, n2, s2, e2 in rows if n == n2 and a < b and s1 < e2 and s2 < e1}
+    got = [tuple(r) for r in m.overlaps(df, width).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_batch_search_of_equal_vectors(spark):
+    """A block of copies sends on k rows, not all that tie."""
+    held = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(300, 0, -1)], "vec_id long, vec array<float>").repartition(4)
+    asked = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, vec array<float>")
+    assert [(r.rank, r.vec_id) for r in s.search_batch(held, asked, 3, 0.5).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
