@@ -17,6 +17,7 @@ verified candidate pairs: no link between different groups is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -67,15 +68,40 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _bands(bands: int, rows: int, k: int):
+    """(key, id): a document's buckets, one for each band.
+
+    Of documents of one partition with the same shingles only the first goes to its bands; the others share
+    one bucket with it, where they are verified like any candidates.  So a document with very many copies
+    fills no bucket with all of them.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, bool]] = {}  # first document, whether it is in the bucket of its copies
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, hi, hashes, offsets, _ in token_hashes(b.column(1)):
                 own, cuts = shingles(hashes, offsets, k)
-                some = np.flatnonzero(np.diff(cuts))
-                if len(some):
-                    keys = band_keys(signatures(own, cuts, bands * rows)[some], bands)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[lo:hi][some], bands))], names=["key", "id"])
+                new, first, copies = [], [], []
+                for row in np.flatnonzero(np.diff(cuts)).tolist():
+                    digest = hashlib.blake2b(own[cuts[row] : cuts[row + 1]], digest_size=16).digest()
+                    found = known.get(digest)
+                    if found is None:
+                        known[digest] = int(ids[lo + row]), False
+                        new.append(row)
+                        continue
+                    if not found[1]:
+                        known[digest] = found[0], True
+                        first.append(found[0])
+                        copies.append(found[0])
+                    first.append(found[0])
+                    copies.append(int(ids[lo + row]))
+                keys, who = [mix(np.array(first, np.int64).view(np.uint64) ^ np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)], [np.array(copies, np.int64)]
+                if new:
+                    size = np.diff(cuts)[new]
+                    kept = own[np.repeat(cuts[new] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    keys.append(band_keys(signatures(kept, np.append(0, np.cumsum(size)), bands * rows), bands).ravel())
+                    who.append(np.repeat(ids[lo:hi][new], bands))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(who))], names=["key", "id"])
 
     return run
 

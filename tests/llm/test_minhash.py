@@ -127,3 +127,12 @@ def test_components(spark):
 def test_short_documents(spark, text):
     df = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " z z z z z z")], "doc_id long, text string")
     assert [tuple(r) for r in mh.near_duplicates(df).collect()] == [(2, 1)]
+
+
+def test_copies_of_one_partition_go_to_the_bands_once(spark):
+    rows = [(k, "the same text of some more words than a shingle has") for k in range(200)] + [(500, "another text that nobody else has at all here")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    out = df.mapInArrow(mh._bands(mh.BANDS, mh.ROWS, mh.SHINGLE), "key long, id long")
+    assert out.count() == 2 * mh.BANDS + 200
+    got = mh.near_duplicates(df.withColumnRenamed("id", "doc_id").repartition(3)).collect()
+    assert sorted((r.doc_id, r.dup_of) for r in got) == [(k, 0) for k in range(1, 200)]
