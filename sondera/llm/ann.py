@@ -336,6 +336,21 @@ def _scan(index: Index, parts: int, k: int | None, epsilon: float):
     return run
 
 
+def compared(q: np.ndarray, x: np.ndarray, floors: np.ndarray, query: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs in order of their queries those that reach the query's floor, with their similarities in double precision."""
+    rough = np.empty(len(query), np.float32)
+    ends = np.append(np.flatnonzero(np.diff(query)) + 1, len(query)) if len(query) else np.zeros(0, np.int64)
+    begin = 0
+    for end in ends.tolist():  # one product for each query
+        np.dot(x[place[begin:end]], q[query[begin]], out=rough[begin:end])
+        begin = end
+    near = np.flatnonzero(rough >= (floors[query] - 1e-5).astype(np.float32))
+    query, place = query[near], place[near]
+    exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[query[at : at + 65536]], x[place[at : at + 65536]], dtype=np.float64) for at in range(0, len(query), 65536))])
+    good = exact >= floors[query] - 1e-6
+    return query[good], place[good], exact[good]
+
+
 def _compare(dim: int, k: int):
     """Exact similarities of pairs, those that reach their query's floor; of one block the k best for each query."""
 
@@ -343,11 +358,10 @@ def _compare(dim: int, k: int):
         for b in batches:
             for row in range(b.num_rows):
                 q_ids, q, floors = _of(b, 0, row, np.int64), _of(b, 1, row, np.float32, dim), _of(b, 2, row, np.float64)
-                query, place = _of(b, 3, row, np.int32), _of(b, 4, row, np.int32)
                 ids, x = _of(b, 5, row, np.int64), _of(b, 6, row, np.float32, dim)
-                exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[query[at : at + 65536]], x[place[at : at + 65536]], dtype=np.float64) for at in range(0, len(query), 65536))])
-                good = np.flatnonzero((exact >= floors[query] - 1e-6) & (q_ids[query] != ids[place]))
-                query, place, exact = query[good], place[good], exact[good]
+                query, place, exact = compared(q, x, floors, _of(b, 3, row, np.int32), _of(b, 4, row, np.int32))
+                other = q_ids[query] != ids[place]
+                query, place, exact = query[other], place[other], exact[other]
                 order = np.lexsort((ids[place], -exact, query))
                 query, place, exact = query[order], place[order], exact[order]
                 best = np.arange(len(query)) - np.searchsorted(query, query) < k
