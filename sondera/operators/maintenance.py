@@ -54,6 +54,10 @@ def copy_vector(vectors: DataFrame, vec_id: int, new_id: int) -> DataFrame:
     return vectors.unionByName(vectors.where(F.col("vec_id") == vec_id).withColumn("vec_id", F.lit(new_id).cast("long")))
 
 
+def remove_vector(vectors: DataFrame, vec_id: int) -> DataFrame:
+    return vectors.where(F.col("vec_id") != vec_id)
+
+
 def vecs_for_note(vectors: DataFrame, note_id: int) -> DataFrame:
     return vectors.where(F.col("note_id") == note_id).orderBy("start_i", "vec_id")
 

@@ -16,7 +16,7 @@ from ..functions import tokenizer as tk
 from ..functions import vector as v
 from ..operators import maintenance as m
 from ..operators import search as s
-from ..operators.embedder import HashingEmbedder
+from ..operators.embedder import HashingEmbedder, TokenEmbedder
 from ..operators.highlight import highlight_rows
 from ..sources.shared import shared_dir, spread
 from ..sources.store import VectorStore
@@ -140,6 +140,18 @@ def copy_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.copy_vector(vectors(spark, sf_dir), 5, 2_000_000).drop("vec")
 
 
+def remove_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.remove_vector(vectors(spark, sf_dir), 7).drop("vec")
+
+
+def note_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of a path, and the path of an id; nothing for those that aren't there."""
+    n = notes(spark, sf_dir)
+    asked = spark.createDataFrame([("note-4", None), ("nowhere", None), (None, 3), (None, 10**6)], "path string, note_id long")
+    by_path = n.join(asked.where("path is not null").select("path"), "path").select("note_id", "path", F.lit("path").alias("by"))
+    return by_path.unionByName(n.join(asked.where("note_id is not null").select("note_id"), "note_id").select("note_id", "path", F.lit("note_id").alias("by")))
+
+
 def rename_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.renamed(notes(spark, sf_dir), "note-4", "moved")
 
@@ -222,6 +234,20 @@ def wordpiece_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n", F.array_join(F.col("p.ids").cast("array<string>"), " ").alias("ids"), F.aggregate("p.mask", F.lit(0), lambda a, x: a + x).alias("real"))
 
 
+def _residues():
+    """A model whose vector for a token is three residues of its id."""
+    import numpy as np
+
+    return lambda ids, mask: np.stack([ids % n - n // 2 for n in (7, 11, 13)], axis=2)
+
+
+def token_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through tokenizer, truncation, mask, a model, the mean over real tokens and unit length."""
+    model = TokenEmbedder("residues", 3, 0.3, 0.9, tk.Vocabulary({k.encode(): i for k, i in pieces().items()}), _residues)
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", model.embed(F.col("text")).alias("vec"))
+    return rows.select("doc_id", *[F.round(F.get("vec", k).cast("double"), 5).alias(name) for k, name in enumerate(("x", "y", "z"))])
+
+
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", EMBEDDER.embed(F.col("text")).alias("vec"))
     rows = d.select("doc_id", F.posexplode("vec").alias("bucket", "x"))
@@ -305,8 +331,23 @@ def store_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact()
     again = VectorStore.open(spark, store.path, EMBEDDER)
     again.vacuum()
-    sums = again.vectors().groupBy("note_id").agg(F.count("*").alias("n"), F.sum("start_i").alias("starts"), F.sum("end_i").alias("ends"))
-    return again.notes().join(sums, "note_id", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("ends", F.lit(0)).alias("ends"))
+    return _sums(again)
+
+
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of documents into a store, the last of each user counting."""
+    source = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    e.select(F.concat(F.lit("user "), "user_id").alias("path"), F.concat(F.col("event_type"), F.lit(" event. Its properties: "), "props").alias("contents"), F.col("event_id").cast("long").alias("seq")).write.parquet(source)
+    store = VectorStore.open(spark, f"{source}-store", EMBEDDER)
+    store.ingest_stream(spark.readStream.schema("path string, contents string, seq long").parquet(source), f"{source}-checkpoint").awaitTermination()
+    return _sums(VectorStore.open(spark, store.path, EMBEDDER))
+
+
+def _sums(store: VectorStore) -> DataFrame:
+    """What a store has of each path: its vectors, and the sums of their offsets."""
+    sums = store.vectors().groupBy("note_id").agg(F.count("*").alias("n"), F.sum("start_i").alias("starts"), F.sum("end_i").alias("ends"))
+    return store.notes().join(sums, "note_id", "left").select("path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "starts", "ends")])
 
 
 def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +364,7 @@ def queries() -> dict[str, Query]:
         vector_is_zero, vector_normalize, vector_masked_mean, search_topk, search_threshold, unique_search, batch_search, vecs_for_note, get_vector, remove_by_note, replace_vectors,
         copy_vector, rename_path, remove_path, prune_orphans, validate_overlaps, assign_note_ids, count_notes, sentence_split, word_split, sentence_chunks, url_chunks, chunk_filter, strip_query,
         basic_tokenize, wordpiece_tokenize, hash_embed, embed_text, text_search, text_unique_search, highlights, async_ingest_latest_wins, quality_score,
-        relevance_benchmark, store_lifecycle, store_search,
+        relevance_benchmark, store_lifecycle, store_search, store_stream, token_embed, remove_vector, note_lookup,
     )
     return found | {f.__name__: f for f in named}
 
@@ -374,8 +415,8 @@ def _stored_sql(state: str) -> str:
         stored AS (SELECT * FROM sentences WHERE place IN (SELECT place FROM unit_sentences))"""
 
 
-def _wordpiece_sql() -> str:
-    """Greedy longest matches, one piece at each step of a recursion over the distinct words."""
+def _ids_sql() -> str:
+    """``full_ids`` (doc_id, ids): greedy longest matches, one piece at each step of a recursion over the distinct words."""
     says = "CASE WHEN length(piece) = 1 THEN substr(md5({x}), 1, 1) <> '0' ELSE substr(md5({x}), 1, 1) < '8' END"
     return f"""WITH RECURSIVE l AS (SELECT unnest(string_split('{SIGNS}', '')) AS c, generate_subscripts(string_split('{SIGNS}', ''), 1) - 1 AS i),
         runs AS (SELECT c AS piece, i AS k FROM l UNION ALL SELECT a.c || b.c, 36 + 36 * a.i + b.i FROM l a, l b UNION ALL SELECT a.c || b.c || d.c, 1332 + 676 * a.i + 26 * b.i + d.i FROM l a, l b, l d WHERE a.i < 26 AND b.i < 26 AND d.i < 26),
@@ -391,7 +432,11 @@ def _wordpiece_sql() -> str:
             WHERE place <= length(w) AND NOT failed),
         known AS (SELECT w, CASE WHEN failed THEN [100] ELSE ids END AS ids FROM walk WHERE failed OR place > length(w)),
         coded AS (SELECT doc_id, i, coalesce(ids, CASE WHEN strlen(w) > length(w) THEN list_transform(range(strlen(w)), lambda x: 100) ELSE [100] END) AS ids FROM tokens LEFT JOIN known USING (w)),
-        full_ids AS (SELECT doc_id, list_concat([101], coalesce(any_value(f.ids), []), [102]) AS ids FROM documents LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM coded GROUP BY doc_id) f USING (doc_id) GROUP BY doc_id)
+        full_ids AS (SELECT doc_id, list_concat([101], coalesce(any_value(f.ids), []), [102]) AS ids FROM documents LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM coded GROUP BY doc_id) f USING (doc_id) GROUP BY doc_id)"""
+
+
+def _wordpiece_sql() -> str:
+    return f"""{_ids_sql()}
         SELECT doc_id, len(ids)::INTEGER AS n, array_to_string(list_resize(ids, {tk.SEQUENCE}, 0), ' ') AS ids, least(len(ids), {tk.SEQUENCE})::INTEGER AS real FROM full_ids"""
 
 
@@ -472,6 +517,14 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT 'first', CASE WHEN first = path THEN 44 ELSE 0 END, 44 FROM own LEFT JOIN hits USING (query_id))
             SELECT label, sum(got)::BIGINT AS got, sum(total)::BIGINT AS total, round(100.0::DOUBLE * sum(got) / sum(total), 2) AS percent FROM every GROUP BY label""",
         "wordpiece_tokenize": _wordpiece_sql(),
+        "token_embed": f"""{_ids_sql()},
+            means AS (SELECT doc_id, {", ".join(f"list_avg(list_transform(ids[1:{tk.SEQUENCE}], lambda i: i % {n} - {n // 2}))::DOUBLE AS {name}" for name, n in (("x", 7), ("y", 11), ("z", 13)))} FROM full_ids JOIN documents USING (doc_id) WHERE text <> ''),
+            lengths AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM means)
+            SELECT doc_id, {", ".join(f"CASE WHEN n > 0 THEN round(({c} / n)::FLOAT::DOUBLE, 5) END AS {c}" for c in "xyz")} FROM documents LEFT JOIN lengths USING (doc_id)""",
+        "remove_vector": f"SELECT vec_id, note_id, start_i, end_i FROM {vec} WHERE vec_id <> 7",
+        "note_lookup": f"SELECT note_id, path, 'path' AS \"by\" FROM {note} WHERE path IN ('note-4', 'nowhere') UNION ALL SELECT note_id, path, 'note_id' FROM {note} WHERE note_id IN (3, 1000000)",
+        "store_stream": f"""WITH state AS (SELECT 'user ' || user_id AS path, arg_max(event_type || ' event. Its properties: ' || props, event_id) AS contents FROM events GROUP BY user_id), {_stored_sql("state")}
+            SELECT s.path, count(t.place) AS n, coalesce(sum(t.start_i), 0)::BIGINT AS starts, coalesce(sum(t.end_i), 0)::BIGINT AS ends FROM state s LEFT JOIN stored t ON t.path = s.path GROUP BY s.path""",
         "relevance_benchmark": _relevance_sql(),
         "store_lifecycle": f"""WITH named AS (SELECT source || '/' || doc_id AS path, * FROM documents), ends AS (SELECT min(path) AS first, max(path) AS last FROM named),
             state AS (SELECT path, CASE WHEN lang = 'fr' THEN 'Replaced text of ' || doc_id || '. A second sentence! ok' ELSE text END AS contents, lang FROM named), {_stored_sql("state")},
