@@ -3,7 +3,9 @@
 ``meta.json`` names the parts of the current snapshot and is replaced atomically, so readers see one
 snapshot or the next.  Changes cost what they change: notes and vectors are only ever added, as a new
 part; a removed, replaced or renamed note is a row (note_id, gen) that hides that note's rows of
-earlier generations.  ``compact`` writes the live rows anew.
+earlier generations.  When there are many parts, the newest that together are no larger than the one before
+are merged, so that a row is written again a few times in all, however large the store; ``compact``
+writes all live rows anew.
 
 There is one writer at a time: a change holds the file ``lock``, and is refused if another writer has it
 or has changed the store since it was opened.  Readers keep the snapshot that they opened.
@@ -173,7 +175,7 @@ class VectorStore:
             if wrong:
                 raise IncompatibleStore(", ".join(f"{k} is {meta.get(k)!r}, not {want[k]!r}" for k in wrong))
         else:
-            meta = want | {"snapshot": 0, "next_note_id": 1, "next_vec_id": 0, "notes": [], "gone": [], "vectors": [], "hidden": [], "epochs": {}}
+            meta = want | {"snapshot": 0, "next_note_id": 1, "next_vec_id": 0, "notes": [], "gone": [], "vectors": [], "hidden": [], "rows": {}, "epochs": {}}
         return cls(spark, path, embedder, files, meta)
 
     def unlock(self) -> None:
@@ -187,8 +189,8 @@ class VectorStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def _live(self, schema: T.StructType, parts: str, hidden: str) -> DataFrame:
-        rows = self._read(schema, self._meta[parts])
+    def _live(self, schema: T.StructType, parts: str, hidden: str, among: list[str] | None = None) -> DataFrame:
+        rows = self._read(schema, self._meta[parts] if among is None else among)
         if not self._meta[hidden]:
             return rows
         until = self._read(HIDDEN, self._meta[hidden]).groupBy("note_id").agg(F.max("gen").alias("until"))
@@ -239,25 +241,49 @@ class VectorStore:
         for kind, schema, rows in (("notes", NOTES, notes), ("gone", HIDDEN, gone), ("vectors", VECTORS, vectors), ("hidden", HIDDEN, hidden)):
             if rows is not None:
                 new[kind] = [*new[kind], rows if isinstance(rows, str) else self._write(rows, schema, f"{tag}/{kind}")]
-        if notes is not None:
-            top = self._read(NOTES, new["notes"][-1:]).agg(F.max("note_id")).first()[0]
-            new["next_note_id"] = max(new["next_note_id"], (top or 0) + 1)
-        if vectors is not None:
-            top = self._read(VECTORS, new["vectors"][-1:]).agg(F.max("vec_id")).first()[0]
-            new["next_vec_id"] = max(new["next_vec_id"], -1 if top is None else top + 1)
+        for kind, schema, number, following in (("notes", NOTES, "note_id", "next_note_id"), ("vectors", VECTORS, "vec_id", "next_vec_id")):
+            if new[kind] != self._meta[kind]:
+                n, top = self._read(schema, new[kind][-1:]).agg(F.count("*"), F.max(number)).first()
+                new["rows"] = new["rows"] | {new[kind][-1]: n}
+                new[following] = max(new[following], 0 if top is None else top + 1)
+        self._replace(new)
+        if max(len(new[kind]) for kind in ("notes", "gone", "vectors", "hidden")) > MOST_PARTS:
+            self.merge()
+
+    def _replace(self, new: dict) -> None:
+        new["rows"] = {name: n for name, n in new["rows"].items() if name in new["notes"] or name in new["vectors"]}
         self._files.replace("meta.json", json.dumps(new))
         self._meta = new
-        if max(len(new["vectors"]), len(new["notes"])) > MOST_PARTS:
-            self.compact()
+
+    @change
+    def merge(self) -> None:
+        """Merges the newest parts of each table: half of those that there may be at least, and on as long as the part before isn't larger than they are together."""
+        tag, new = self._tag(), dict(self._meta)
+        for kind, schema, hidden in (("notes", NOTES, "gone"), ("vectors", VECTORS, "hidden")):
+            parts = new[kind]
+            if len(parts) > MOST_PARTS:
+                sizes = [new["rows"][p] for p in parts]
+                at = max(0, len(parts) - max(2, MOST_PARTS // 2))
+                while at and sizes[at - 1] <= sum(sizes[at:]):
+                    at -= 1
+                name = f"{tag}/{kind}"
+                self._live(schema, kind, hidden, parts[at:]).write.parquet(f"{self.path}/{name}")  # with the generations that they have
+                new[kind] = [*parts[:at], name]
+                new["rows"] = new["rows"] | {name: self._read(schema, [name]).count()}
+        for kind in ("gone", "hidden"):
+            if len(new[kind]) > MOST_PARTS:
+                name = f"{tag}/{kind}"
+                self._read(HIDDEN, new[kind]).groupBy("note_id").agg(F.max("gen").alias("gen")).write.parquet(f"{self.path}/{name}")
+                new[kind] = [name]
+        self._replace(new | {"snapshot": self._meta["snapshot"] + 1})
 
     @change
     def compact(self) -> None:
         """Writes the live notes and vectors as one part each.  Earlier parts stay for readers that have them open, until ``vacuum``."""
         tag = self._tag()
         notes, vectors = self._write(self.notes(), NOTES, f"{tag}/notes"), self._write(self.vectors(), VECTORS, f"{tag}/vectors")
-        new = self._meta | {"snapshot": self._meta["snapshot"] + 1, "notes": [notes], "gone": [], "vectors": [vectors], "hidden": []}
-        self._files.replace("meta.json", json.dumps(new))
-        self._meta = new
+        rows = {notes: self._read(NOTES, [notes]).count(), vectors: self._read(VECTORS, [vectors]).count()}
+        self._replace(self._meta | {"snapshot": self._meta["snapshot"] + 1, "notes": [notes], "gone": [], "vectors": [vectors], "hidden": [], "rows": rows})
 
     @change
     def vacuum(self) -> None:

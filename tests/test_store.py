@@ -259,12 +259,21 @@ def test_another_writer_is_refused(spark, store):
     assert fresh.count() == 0 and store.count() == 1  # a reader keeps its snapshot
 
 
-def test_parts_are_compacted(spark, store, monkeypatch):
+def test_parts_are_merged(spark, store, monkeypatch):
     monkeypatch.setattr(st, "MOST_PARTS", 3)
+    store.ingest(docs(spark, [("big", ". ".join(f"long{k} text" for k in range(40)))]))
+    first = store._meta["vectors"][0]
     for k in range(5):
         store.ingest(docs(spark, [(f"p{k}", f"word{k}."), ("p0", f"again{k}.")] if k else [("p0", "first.")]))
         store.rename(f"p{k}", f"q{k}") if k else None
-    assert store.stats()["parts"] <= 4 and store.vectors().count() == 5 and sorted(r.path for r in store.notes().collect()) == ["p0", "q1", "q2", "q3", "q4"]
+    assert store._meta["vectors"][0] == first and set(store._meta["rows"]) == {*store._meta["notes"], *store._meta["vectors"]}  # the large part isn't written again
+    assert max(len(store._meta[kind]) for kind in ("notes", "gone", "vectors", "hidden")) <= 3
+    assert [r.vec for r in store.vecs_for_note(store.get_id("p0")).collect()] == [E.embed_one("again4")]
+    store.remove("big")
+    store = st.VectorStore.open(spark, store.path, E)
+    store.validate()
+    store.compact()
+    assert store.stats()["parts"] == 1 and store.vectors().count() == 5 and sorted(r.path for r in store.notes().collect()) == ["p0", "q1", "q2", "q3", "q4"]
     first = store.vectors().where("vec_id is not null").orderBy("vec_id").first().vec_id
     assert store.occupied(first) and not store.occupied(10**6)
 
