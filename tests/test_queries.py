@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import os
+import warnings
 
 import duckdb
 import pytest
@@ -40,3 +41,19 @@ def test_entry_and_registry(spark):
     assert set(q.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["rank", "path", "start_i", "end_i", "similarity"]
     assert q.wordpiece_tokenize(spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("error", [SyntaxError("broken"), ModuleNotFoundError("No module named 'numpy.gone'", name="numpy.gone"), ModuleNotFoundError("No module named 'sondera.llm'", name="sondera.llm")])
+def test_what_cannot_be_imported_is_left_out(monkeypatch, error):
+    real = entry.importlib.import_module
+
+    def fails(name):
+        if name.startswith("sondera.llm"):
+            raise error
+        return real(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", fails)
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        assert set(entry.queries()) == set(q.queries()) and set(entry.oracle_sql()) == set(q.oracle_sql())
+    assert bool(told) == (getattr(error, "name", None) != "sondera.llm")  # one that was deleted is no news
