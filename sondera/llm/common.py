@@ -15,15 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` hasn't got, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    name, n = base, 0
-    while name.lower() in taken:
-        name, n = f"{base}_{n}", n + 1
-    return name
-
-
 def place(df: DataFrame, name: str) -> int:
     """Where the column of that very name is; without one, the column whose name differs in case only."""
     found = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
