@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,63 +57,131 @@ def unique_search(vectors: DataFrame, notes: DataFrame, query: Column, k: int, t
     return first.withColumn("rank", F.row_number().over(W.orderBy("rank")).cast("int")).select("rank", "path", "start_i", "end_i", "similarity")
 
 
-BLOCK = 1024
-
-
-def _blocks(rows: DataFrame, ids: str, vecs: str) -> DataFrame:
-    """(ids, vecs, dim): the rows (id, vec) with a vector, packed into blocks in place."""
-    kind = rows.schema["id"].dataType
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                size = b.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-                for dim in np.unique(size[size > 0]):
-                    some = pa.array(np.flatnonzero(size == dim))
-                    own = b.column(0).take(some)
-                    x = b.column(1).take(some).flatten().cast(pa.float32()).fill_null(float("nan"))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([x.to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([int(dim)], pa.int32())], names=[ids, vecs, "dim"])
-
-    schema = T.StructType([T.StructField(ids, T.ArrayType(kind)), T.StructField(vecs, T.BinaryType()), T.StructField("dim", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+#: Rows of a product at most: of queries, and of vectors.
+QUERIES, VECTORS = 512, 4096
+
+
+class _Best:
+    """The k best of the vectors seen so far for each query of one dimension; vectors must come in the order of their ids."""
+
+    def __init__(self, x: np.ndarray, k: int, threshold: float):
+        self.x, self.k, self.threshold, self.seen = x, k, threshold, 0
+        self.near, self.sims, self.place = np.full((len(x), k), -np.inf), np.zeros((len(x), k)), np.full((len(x), k), -1)
+        with np.errstate(all="ignore"):
+            self.norm = np.sqrt(np.square(x, dtype=float).sum(axis=1))
+
+    def add(self, x: np.ndarray) -> None:
+        at = 0
+        while at < len(x):  # few at first, until there is something to beat
+            some = x[at : at + min(VECTORS, max(256, self.seen))]
+            with np.errstate(all="ignore"):
+                longest = np.sqrt(np.square(some, dtype=float).sum(axis=1)).max()
+                for first in range(0, len(self.x), QUERIES):
+                    self._product(first, some, longest)
+            self.seen += len(some)
+            at += len(some)
+
+    def _product(self, first: int, x: np.ndarray, longest: float) -> None:
+        """Products in single precision, less what they may be wrong by, leave few pairs; those are computed in double precision."""
+        q, norm = self.x[first : first + QUERIES], self.norm[first : first + QUERIES]
+        floor = np.maximum(self.near[first : first + QUERIES, -1] - 10.0**-TIE, self.threshold)
+        if 1e-15 < norm.max() * longest < 1e30 and max(norm.max(), longest) < 1e18:
+            wrong = (q.shape[1] + 8) * 2.0**-24 * norm * longest + 1e-30
+            product = q @ x.T
+            if not self.seen and len(x) > self.k:
+                floor = np.maximum(floor, np.partition(product, -self.k, axis=1)[:, -self.k].astype(float) - wrong - 10.0**-TIE)
+            cut = floor - wrong
+            i, j = np.divmod(np.flatnonzero(product >= np.nextafter(cut.astype(np.float32), np.float32(-np.inf))[:, None]), len(x))
+            step = max(1, 2**21 // q.shape[1])
+            sims = np.concatenate([np.einsum("ij,ij->i", q[i[a : a + step]].astype(float), x[j[a : a + step]].astype(float)) for a in range(0, len(i), step)] or [np.zeros(0)])
+        else:
+            whole = np.nan_to_num(q.astype(float) @ x.T.astype(float), nan=-np.inf)
+            i, j = np.nonzero(whole >= floor[:, None])
+            sims = whole[i, j]
+        good = sims > self.threshold
+        i, j, sims = i[good], j[good], sims[good]
+        if not len(i):
+            return
+        rows, own = np.unique(i, return_inverse=True)
+        held = first + rows
+        owner = np.concatenate([np.repeat(np.arange(len(rows)), self.k), own])
+        near = np.concatenate([self.near[held].ravel(), np.round(sims, TIE)])
+        every = np.concatenate([self.sims[held].ravel(), sims])
+        place = np.concatenate([self.place[held].ravel(), self.seen + j])
+        order = np.lexsort((place, -near, owner))
+        begins = np.searchsorted(owner[order], np.arange(len(rows)))
+        best = order[begins[:, None] + np.arange(self.k)]
+        self.near[held], self.sims[held], self.place[held] = near[best], every[best], place[best]
+
+
+def _matrices(ids: pa.Array, vecs: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(dimension, ids, matrix) of the rows of each dimension, in their order; those without a vector are left out."""
+    size = vecs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(size[size > 0]):
+        some = pa.array(np.flatnonzero(size == dim))
+        x = vecs.take(some).flatten().cast(pa.float32()).fill_null(float("nan"))
+        yield int(dim), ids.take(some), x.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
     """(query_id, rank, vec_id, similarity) for a table (query_id, vec) of queries.
 
-    Both sides are packed into blocks, whose product is one matrix product for each pair: at some
-    hundred dimensions that is far cheaper than a higher-order function for each pair of rows.  The
-    vectors' blocks are dealt to as many slots as there are shuffle partitions, the queries' blocks go to
-    every slot: each vector travels once, and no partition gets more than its share, whatever the
-    dimensions.  If the queries are small enough Spark broadcasts them, and the vectors stay where they are.
-    Each pair of blocks sends on at most k rows for each query, ties by the lesser id.
+    All queries meet all vectors.  Both sides are cut into groups, and every pair of groups is a slot of
+    one task, which holds the slot's queries and the k best of each, while the vectors go by in the
+    order of their ids.  There are two slots to a shuffle partition, of few groups of vectors and many of queries; a
+    row travels as often as the other side has groups, and a slot sends on at most k rows for each query.
     """
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = _blocks(queries.select(F.col("query_id").alias("id"), "vec"), "query_ids", "query_vecs").withColumnRenamed("dim", "query_dim")
-    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    held = _blocks(vectors.select(F.col("vec_id").alias("id"), "vec"), "vec_ids", "vecs")
-    held = held.withColumn("slot", F.pmod(F.xxhash64("vec_ids"), F.lit(slots)).cast("int"))
-    pairs = asked.join(held, "slot").where("query_dim = dim").select("query_ids", "query_vecs", "vec_ids", "vecs", "dim")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_held = math.ceil(math.sqrt(parts) / 2)
+    n_asked = math.ceil(2 * parts / n_held)
+    kinds = queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType
+
+    def group(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def each(n: int, slot: Callable[[Column], Column]) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), slot)).alias("slot")
+
+    asked = queries.select("query_id", "vec").select(each(n_held, lambda g: g * n_asked + group("query_id", n_asked)), F.lit(0).alias("side"), "query_id", F.lit(None).cast(kinds[1]).alias("vec_id"), "vec")
+    held = vectors.select("vec_id", "vec").select(each(n_asked, lambda g: group("vec_id", n_held) * n_asked + g), F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("query_id"), "vec_id", "vec")
+    met = asked.union(held).repartition(parts, "slot").sortWithinPartitions("slot", "side", "vec_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, sides = None, {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for own, _, best, ids in sides.values():
+                if best is None:
+                    continue
+                own, ids = pa.concat_arrays(own), pa.concat_arrays(ids)
+                for at in range(0, len(own), 8192):
+                    i, j = np.nonzero(best.place[at : at + 8192] >= 0)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(i + at)), ids.take(pa.array(best.place[i + at, j])), pa.array(best.sims[i + at, j])], names=["query_id", "vec_id", "similarity"])
+
         for b in batches:
-            for row in range(b.num_rows):
-                q, x = (np.frombuffer(b.column(c)[row].as_py(), np.float32).reshape(-1, b.column(4)[row].as_py()).astype(float) for c in (1, 3))
-                sims = np.nan_to_num(q @ x.T, nan=-np.inf)
-                near = np.round(sims, TIE)
-                cut = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
-                i, j = np.nonzero((near >= cut[:, None]) & (sims > threshold))
-                ids = b.column(2)[row].values
-                place = np.empty(len(ids), np.int64)
-                place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                order = np.lexsort((place[j], -near[i, j], i))
-                i, j = i[order], j[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[best], j[best]
-                yield pa.RecordBatch.from_arrays([b.column(0)[row].values.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sims[i, j])], names=["query_id", "vec_id", "similarity"])
-
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("similarity", T.DoubleType())])
+            turns = np.flatnonzero(np.diff(b.column(0).to_numpy() * 2 + b.column(1).to_numpy())) + 1
+            for at, end in zip([0, *turns], [*turns, b.num_rows], strict=True):
+                if end == at:
+                    continue
+                part = b.slice(at, end - at)
+                if part.column(0)[0].as_py() != slot:
+                    yield from found()
+                    slot, sides = part.column(0)[0].as_py(), {}
+                if part.column(1)[0].as_py() == 0:
+                    for dim, ids, x in _matrices(part.column(2), part.column(4)):
+                        own = sides.setdefault(dim, [[], [], None, []])
+                        own[0].append(ids)
+                        own[1].append(x)
+                else:
+                    for dim, ids, x in _matrices(part.column(3), part.column(4)):
+                        if own := sides.get(dim):
+                            if own[2] is None:
+                                own[2], own[1] = _Best(np.concatenate(own[1]), k, threshold), None
+                            own[2].add(x)
+                            own[3].append(ids)
+        yield from found()
+
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("vec_id", kinds[1]), T.StructField("similarity", T.DoubleType())])
     order = W.partitionBy("query_id").orderBy(F.round("similarity", TIE).desc(), "vec_id")
-    best = pairs.mapInArrow(run, schema) if k > 0 else pairs.sparkSession.createDataFrame([], schema)
+    best = met.mapInArrow(run, schema) if k > 0 else met.sparkSession.createDataFrame([], schema)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")

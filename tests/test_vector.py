@@ -1,6 +1,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,35 @@ def test_batch_search_of_equal_vectors(spark):
     held = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(300, 0, -1)], "vec_id long, vec array<float>").repartition(4)
     asked = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, vec array<float>")
     assert [(r.rank, r.vec_id) for r in s.search_batch(held, asked, 3, 0.5).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_batch_search_against_a_double_product(spark):
+    """More rows than a product has, equal vectors, lengths from tiny to huge and what isn't finite: as by one product in double precision."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 9)).astype(np.float32)
+    x[300:340] = x[7]
+    x[400:420] *= np.float32(1e-20)
+    x[420:430] *= np.float32(1e19)
+    x[5, 2] = np.nan
+    held = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, vec array<float>").repartition(5)
+    asked = held.withColumnRenamed("vec_id", "query_id")
+    for threshold in (-1e40, 0.5):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in s.search_batch(held, asked, 4, threshold).collect()}
+        sims = np.nan_to_num(x.astype(float) @ x.T.astype(float), nan=-np.inf)
+        want = {}
+        for q, row in enumerate(sims):
+            for rank, k in enumerate(sorted(np.flatnonzero(row > threshold), key=lambda k: (-round(row[k], 6), k))[:4], 1):
+                want[q, rank] = int(k)
+        assert {at: k for at, (k, _) in got.items() if at[0] not in range(400, 430)} == {at: k for at, k in want.items() if at[0] not in range(400, 430)}
+        assert got.keys() == want.keys()
+        assert all(sims[q, got[q, n][0]] == pytest.approx(sims[q, k], rel=1e-9) for (q, n), k in want.items())
+
+
+def test_batch_search_sends_few_rows_to_the_window(spark):
+    """All vectors ask: what is ranked doesn't grow with the product of the blocks of both sides, but with the groups."""
+    from sondera.plans.generate import random_unit_vectors
+
+    x = random_unit_vectors(spark, 3000, 4).cache()
+    found = s.search_batch(x, x.withColumnRenamed("vec_id", "query_id"), 5, -2.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == 15_000
