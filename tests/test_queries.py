@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import hashlib
 import os
 import warnings
 
@@ -57,3 +58,22 @@ def test_what_cannot_be_imported_is_left_out(monkeypatch, error):
         warnings.simplefilter("always")
         assert set(entry.queries()) == set(q.queries()) and set(entry.oracle_sql()) == set(q.oracle_sql())
     assert bool(told) == (getattr(error, "name", None) != "sondera.llm")  # one that was deleted is no news
+
+
+def test_highlights_of_mixed_words(spark, tmp_path):
+    """Words of several runs, of which most or all that don't cancel hash like "the": as by the SQL."""
+    texts = ["the ch\u00e4ch\u00fcch\u00f6foo ch\u00e4ch\u00fc The", "the-the-the-foo the-the; the-foo (the)", "the\u00e9the the the the the", "x \u00e9 !"]
+    # runs whose components cancel
+    code = lambda w: divmod(int(hashlib.md5(w.encode()).hexdigest()[:9], 16), 16)
+    seen = {}
+    for w in (f"w{k}" for k in range(2000)):
+        bucket, sign = code(w)[0] % q.DIM, code(w)[1] % 2
+        if (bucket, 1 - sign) in seen:
+            texts.append(f"the-{w}-{seen[bucket, 1 - sign]} the")
+            break
+        seen[bucket, sign] = w
+    spark.createDataFrame([(k, 0, x) for k, x in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.sql(q.oracle_sql()["highlights"]).fetchall())
+    assert sorted(tuple(r) for r in q.highlights(spark, str(tmp_path)).collect()) == want and len(want) == 10
