@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import WORD, span_rows
 from ..functions.vector import cosine_similarity
 from .embedder import Embedder
 
@@ -18,7 +18,7 @@ def highlight_rows(docs: DataFrame, query: Column, embedder: Embedder, key: str,
     The query isn't stripped, and words of one letter count.  Each word is embedded by itself, by a model once for each distinct word of a batch.
     With ``also`` only words for which it is true count; it is asked first.
     """
-    tiles = docs.select(F.col(key), F.explode(words(F.col(text))).alias("w")).select(key, "w.start_i", "w.end_i", "w.contents")
+    tiles = span_rows(docs, F.col(text), key, delimiters=WORD, drop=("pos", "type"))
     if also:
         tiles = tiles.where(also(F.col("contents")))
     near = tiles.where(cosine_similarity(embedder.embed(F.col("contents")), query) > embedder.strict_threshold)

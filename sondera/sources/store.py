@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..functions.text import sentences, strip_query_text, wordlike
+from ..functions.text import span_rows, strip_query_text
 from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.embedder import Embedder
@@ -296,8 +296,7 @@ class VectorStore:
 
     def chunks(self, docs: DataFrame, *keys: str) -> DataFrame:
         """(keys, start_i, end_i, contents): the sentences of two letters or digits at least."""
-        rows = docs.select(*keys, F.explode(sentences(F.col("contents"))).alias("c"))
-        return rows.where(wordlike(F.col("c.contents"))).select(*keys, "c.start_i", "c.end_i", "c.contents")
+        return span_rows(docs, F.col("contents"), *keys, least=2, drop=("pos", "type"))
 
     def embedded(self, docs: DataFrame) -> DataFrame:
         """(path, start_i, end_i, vec): the same with their vectors, null for those that have none."""

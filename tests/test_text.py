@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,20 @@ def test_wordpiece(spark):
 def test_special_ids():
     v = tk.Vocabulary.parse('{"model": {"vocab": {"a": 1}}, "post_processor": {"cls": ["[C]", 8], "sep": ["[S]", 9]}}')
     assert (v.cls, v.sep, v.unknown) == (8, 9, 100)
+
+
+@pytest.mark.parametrize("delimiters", [t.SENTENCE, t.WORD])
+def test_span_rows_in_slices(spark, monkeypatch, delimiters):
+    """As one scan of each text, also over slices and batches, with nulls, URLs and texts without a letter."""
+    texts = ["a bc. http://x.y/z?q=1 httpx. é", None, "", "...", "x", "ab é. ç!\n(d) https://a.b, c", "é" * 9, "http", *(f"w{k}, {k}. ok" for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string").repartition(3)
+    want = {(k, n, a, b, x.encode()[a:b].decode(), "url" if url else "string") for k, x in enumerate(texts) if x for n, (a, b, url) in enumerate(t.scan(x.encode(), delimiters))}
+    got = [tuple(r) for r in t.span_rows(df, F.col("s"), "k", delimiters=delimiters).collect()]
+    assert len(got) == len(want) and set(got) == want
+    least = t.span_rows(df, F.col("s"), "k", delimiters=delimiters, least=2, drop=("pos", "type")).collect()
+    assert {tuple(r) for r in least} == {(k, a, b, c) for k, _, a, b, c, _ in want if sum(x.isascii() and x.isalnum() for x in c) >= 2}
+    for most in (1, 10, 10**6):
+        column = pa.array(texts)
+        cut = list(t.slices(column, most))
+        assert [k for a, b in cut for k in range(a, b)] == list(range(len(texts)))
+        assert all(b == a + 1 or sum(len((x or "").encode()) for x in texts[a:b]) <= most for a, b in cut)
