@@ -15,6 +15,7 @@ from .text import ascii_lower
 
 MOST_BYTES = 100
 SEQUENCE = 128
+_LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASIC = re.compile(rb"[a-z0-9]+|[^a-z0-9\s]")
 
 
@@ -71,9 +72,21 @@ class Vocabulary:
                 return [self.unknown]
         return out
 
-    def encode(self, text: bytes) -> list[int]:
-        lowered = text.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
-        return [self.cls, *(i for w in _BASIC.findall(lowered) for i in self.pieces(w)), self.sep]
+    def encode(self, text: bytes, most: int | None = None, known: dict[bytes, list[int]] | None = None) -> list[int]:
+        """All ids, or the first ``most``, for which no more of the text is read; ``known`` keeps the pieces of words from one call to the next."""
+        out = [self.cls]
+        for m in _BASIC.finditer(text.translate(_LOW)):
+            if most is not None and len(out) >= most:
+                return out[:most]
+            found = None if known is None else known.get(m[0])
+            if found is None:
+                found = self.pieces(m[0])
+                if known is not None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[m[0]] = found
+            out += found
+        return [*out, self.sep][:most]
 
 
 def wordpiece(s: Column, vocabulary: Vocabulary) -> Column:

@@ -129,12 +129,12 @@ class TokenEmbedder(ModelEmbedder):
         self.vocabulary = vocabulary
 
         def loaded() -> Callable[[list[str]], np.ndarray]:
-            model = load()
+            model, known = load(), {}
 
             def pooled(texts: list[str]) -> np.ndarray:
                 ids, mask = np.zeros((len(texts), length), np.int64), np.zeros((len(texts), length), np.int64)
                 for k, t in enumerate(texts):
-                    own = vocabulary.encode(t.encode())[:length]
+                    own = vocabulary.encode(t.encode(), length, known)
                     ids[k, : len(own)], mask[k, : len(own)] = own, 1
                 tokens = np.asarray(model(ids, mask), float)
                 return (tokens * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1, keepdims=True)

@@ -106,3 +106,15 @@ def test_span_rows_in_slices(spark, monkeypatch, delimiters):
         cut = list(t.slices(column, most))
         assert [k for a, b in cut for k in range(a, b)] == list(range(len(texts)))
         assert all(b == a + 1 or sum(len((x or "").encode()) for x in texts[a:b]) <= most for a, b in cut)
+
+
+@pytest.mark.parametrize("kept", [None, {}])
+def test_first_ids_of_a_long_text(kept):
+    """The first ids are those of the whole text, and no more of it is tokenized than they need."""
+    v = tk.Vocabulary({b"a": 1, b"b": 2, b"##b": 3, b".": 4, b"[UNK]": 100})
+    text = b"ab A b. c ab \xc3\xa9 ." * 3
+    for most in range(40):
+        assert v.encode(text, most, kept) == v.encode(text)[:most]
+    seen = []
+    v.pieces = lambda w: seen.append(w) or [7]
+    assert v.encode(b"a " * 100_000, 128) == [101] + [7] * 127 and len(seen) == 127
