@@ -158,6 +158,11 @@ def _table(delimiters: str) -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
+def alphanumeric(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is a letter or digit."""
+    return _table("")[data] == 1
+
+
 def _linked(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     """The texts in which ``http`` occurs."""
     at = [m.start() for m in re.finditer(b"http", memoryview(data))]

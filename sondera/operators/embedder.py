@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import alphanumeric, slices, text_bytes
 from ..functions.tokenizer import SEQUENCE, Vocabulary
 
 class Embedder(Protocol):
@@ -53,6 +54,35 @@ def hash_vectors(texts: list[str | None], dim: int, known: dict[str, tuple[int,
     return out / np.where(norm > 0, norm, 1)[:, None], norm > 0
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def hash_column(texts: pa.Array, dim: int, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``hash_vectors`` of an Arrow column: words are cut out of its buffer, and only distinct ones are looked up."""
+    data, offsets = text_bytes(texts)
+    at = np.flatnonzero(alphanumeric(data))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = (np.diff(at) > 1) | begins[at[1:]] if len(at) else []
+    bounds = np.flatnonzero(new) if len(at) else np.zeros(1, int)
+    words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(_LOWER[data[at]])).dictionary_encode()
+    codes = np.zeros((len(words.dictionary), 2), np.int64)
+    for k, w in enumerate(words.dictionary.to_pylist()):
+        found = known.get(w)
+        if found is None:
+            h = hashlib.md5(w.encode()).hexdigest()
+            if len(known) > 500_000:
+                known.clear()
+            found = known[w] = (int(h[:8], 16) % dim, 1 if int(h[8], 16) % 2 == 0 else -1)
+        codes[k] = found
+    own = codes[words.indices.to_numpy(zero_copy_only=False)]
+    owner = np.searchsorted(offsets, at[bounds[:-1]], "right") - 1
+    out = np.bincount(owner * dim + own[:, 0], own[:, 1].astype(float), len(texts) * dim).astype(float).reshape(len(texts), dim)
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+
 class HashingEmbedder:
     """Signed feature hashing of words: lexical, not semantic, and the same in every engine.
 
@@ -65,15 +95,16 @@ class HashingEmbedder:
 
     def embed(self, text: Column) -> Column:
         dim = self.dim
+        known: dict[str, tuple[int, int]] = {}  # in each worker, from batch to batch
 
         @F.arrow_udf("array<float>")
         def vectors(column: pa.Array) -> pa.Array:
-            known: dict[str, tuple[int, int]] = {}
             parts = []
-            for at in range(0, len(column), 2048):
-                out, good = hash_vectors(column.slice(at, 2048).to_pylist(), dim, known)
-                n = len(good)
-                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(out.astype(np.float32).ravel()), mask=pa.array(~good)))
+            for whole, until in slices(column):
+                for at in range(whole, until, 2048):
+                    out, good = hash_column(column.slice(at, min(2048, until - at)), dim, known)
+                    n = len(good)
+                    parts.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(out.astype(np.float32).ravel()), mask=pa.array(~good)))
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
         return vectors(text)

@@ -118,3 +118,20 @@ def test_first_ids_of_a_long_text(kept):
     seen = []
     v.pieces = lambda w: seen.append(w) or [7]
     assert v.encode(b"a " * 100_000, 128) == [101] + [7] * 127 and len(seen) == 127
+
+
+def test_hashed_columns(monkeypatch):
+    """The vectors of a column, from its buffer, are those of its texts one by one, and MD5 is asked once for each distinct word."""
+    from sondera.operators import embedder as e
+
+    texts = ["The the THE", None, "", "ab", "ab cd", "é", "a é b. C-d9", "...", "x" * 50, "ab"] * 3
+    asked = []
+    real = e.hashlib.md5
+    monkeypatch.setattr(e.hashlib, "md5", lambda w: asked.append(w) or real(w))
+    for some in (texts, texts[:1], ["", None], [], texts[2:9]):
+        for column in (pa.array(some, pa.string()), pa.array(["zz", *some], pa.string()).slice(1)):
+            asked.clear()
+            got = e.hash_column(column, 8, {})
+            assert len(asked) == len(set(asked))
+            want = e.hash_vectors(some, 8, {})
+            assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
