@@ -77,3 +77,10 @@ def test_highlights_of_mixed_words(spark, tmp_path):
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     want = sorted(con.sql(q.oracle_sql()["highlights"]).fetchall())
     assert sorted(tuple(r) for r in q.highlights(spark, str(tmp_path)).collect()) == want and len(want) == 10
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_quality_score_searches_once(spark):
+    """Its three scores read what one search has written, of which each product counts for both vectors."""
+    plan = q.quality_score(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "/shown-" in plan

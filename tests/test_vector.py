@@ -177,3 +177,24 @@ def test_batch_search_sends_few_rows_to_the_window(spark):
     found = s.search_batch(x, x.withColumnRenamed("vec_id", "query_id"), 5, -2.0)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and found.count() == 15_000
+
+
+@pytest.mark.parametrize("k", [4, 300])
+def test_all_vectors_search_each_other(spark, k):
+    """Two dimensions, equal vectors, lengths from tiny to huge, what isn't finite, and groups of fewer than k: as all queries by ``search_batch``, and as by hand."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1700, 9)).astype(np.float32)
+    x[300:340] = x[7]
+    x[400:410] *= np.float32(1e-20)
+    x[410:415] *= np.float32(1e19)
+    x[5, 2] = np.nan
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1700 + k, rng.normal(size=2).tolist()) for k in range(30)] + [(1730, None), (1731, [])]
+    held = spark.createDataFrame(rows, "vec_id long, vec array<float>").repartition(5)
+    for threshold in (-1e40, 0.5):
+        got, want = ({(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in found.collect()} for found in (s.search_all(held, k, threshold), s.search_batch(held, held.withColumnRenamed("vec_id", "query_id"), k, threshold)))
+        assert got.keys() == want.keys() and all(got[at][1] == pytest.approx(want[at][1], rel=1e-9) for at in got)
+        assert all(got[at][0] == want[at][0] for at in got if at[0] not in range(400, 415))
+        sims = np.nan_to_num(x.astype(float) @ x.T.astype(float), nan=-np.inf)
+        for q in (0, 5, 7, 320, 1699):
+            best = sorted(np.flatnonzero(sims[q] > threshold), key=lambda j, q=q: (-round(sims[q, j], 6), j))[:k]
+            assert [got[q, n][0] for n in range(1, len(best) + 1)] == best and (q, len(best) + 1) not in got
